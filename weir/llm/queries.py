@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from weir.llm.bpe import op5_lexicon_bpe
+from weir.llm.decontam import op3_positional_index
+from weir.llm.langid import op8_script_viterbi
+from weir.llm.near_dedup import op2_circulant_minhash
 from weir.llm.sharding import op1_histogram_shards
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_circulant_minhash": op2_circulant_minhash,
+    "op3_positional_index": op3_positional_index,
+    "op5_lexicon_bpe": op5_lexicon_bpe,
+    "op8_script_viterbi": op8_script_viterbi,
 }
 
 ORACLES: dict[str, str] = {}
