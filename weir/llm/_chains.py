@@ -86,8 +86,11 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
-def marginals(weight: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Forward-backward label probabilities of each row; ``weight`` (rows, labels), ``start`` and ``step`` are positive factors."""
+def marginals(weight: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Forward-backward label probabilities of each row; ``weight`` (rows, labels), ``start`` and ``step`` are positive factors.
+
+    To ``pairs`` (labels, labels) are added the expected counts of transitions.
+    """
     n, k = weight.shape
     out = np.zeros((n, k))
     lanes = Lanes(first)
@@ -115,7 +118,7 @@ def marginals(weight: np.ndarray, first: np.ndarray, start: np.ndarray, step: np
         leave[wave] = back[d]
         v = np.matmul(move[wave], back[d][:, :, None])[:, :, 0]
         back[d] = v / v.sum(axis=1, keepdims=True)
-    v = enter
+    v = enter.copy()
     for t in range(lanes.longest):
         a = lanes.live[t]
         rows = lanes.start[:a] + t
@@ -127,6 +130,11 @@ def marginals(weight: np.ndarray, first: np.ndarray, start: np.ndarray, step: np
         a = lanes.live[t]
         rows = lanes.start[:a] + t
         x = out[rows] * v[:a]
+        if pairs is not None:
+            came = out[rows - 1] if t else enter[:a]
+            e = came[:, :, None] * step * (weight[rows] * v[:a])[:, None, :]
+            e = e if t else e[lanes.order[:a] > 0]
+            pairs += (e / e.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         out[rows] = x / x.sum(axis=1, keepdims=True)
         x = np.matmul(step, (weight[rows] * v[:a])[:, :, None])[:, :, 0]
         v[:a] = x / x.sum(axis=1, keepdims=True)

@@ -1,0 +1,208 @@
+"""Surrogates for personal data, with SQL functions only.
+
+Entities are found by one expression per type. Each gets a replacement drawn from
+a keyed hash of its type and canonical form: digits for digits, letters of the same
+case and script for letters, names of the same gender, valid octets, card numbers
+that pass their check where the original did. Equal entities, however written, get equal
+replacements anywhere in the corpus. A check over all distinct entities finds replacements
+that two entities share, or that are themselves an entity of the corpus; those are
+drawn again until none is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weir.llm._scratch import Scratch
+
+#: Redrawn entities that a plan may carry as a literal; beyond it they are joined.
+LITERAL = 1000
+
+_MALE = "James Robert John Michael David William Richard Thomas Charles Daniel Matthew Anthony Steven Andrew Paul Joshua Kevin Brian George Edward Hans Karl Jürgen Klaus Pierre Jean Luis Carlos José Javier Miguel Antonio".split()
+_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Ursula Monika Petra Sabine Marie Sophie Isabelle María Carmen Ana Lucía Elena".split()
+_MALE_CYRILLIC = "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел".split()
+_FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split()
+_HE, _SHE = "Mr|Sir|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
+
+#: In order: what matches earlier is taken. Lookbehinds keep a search from starting inside a word.
+PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\dA-Za-z])\d{13,19}(?![\dA-Za-z])",
+    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d(+])\+\d{8,15}(?!\d)",
+    "secret": r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z-]{12,128})(?![0-9A-Za-z_])"
+    r"|(?<=(?:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,200}",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "name": rf"(?<![\p{{L}}])(?:{_HE}|{_SHE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?"
+    rf"|(?<![\p{{L}}])(?:{'|'.join(_MALE + _FEMALE + _MALE_CYRILLIC + _FEMALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}}(?!\p{{L}})",
+}
+#: A place where an entity can begin is tried only if it starts a word, which spares most of a text.
+ALL = r"(?<![\p{L}](?=[\p{L}]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+
+
+def kind_of(entity: Column) -> Column:
+    """The type of a whole entity."""
+    out = None
+    for name, p in PATTERNS.items():
+        whole = "^(?:" + p + ")$" if name != "secret" else None
+        test = entity.rlike(whole) if whole else None
+        if test is None:
+            continue
+        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
+    return out.otherwise(F.lit("secret"))
+
+
+def canonical(kind: Column, entity: Column) -> Column:
+    """One spelling for all ways to write an entity."""
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(entity)).when(kind == "name", F.regexp_replace(entity, rf"^(?:{_HE}|{_SHE})\.? ", "")).otherwise(entity)
+
+
+def _nibble(h: Column, i: Column, n: int) -> Column:
+    """A number below n from place i of a hex digest."""
+    return F.conv(F.substring(h, (i * 3 % 120) + 1, F.lit(6)), 16, 10).cast("int") % n
+
+
+def _letters(h: Column, text: Column) -> Column:
+    """``text`` with letters and digits replaced by others of their case, script and kind."""
+
+    def one(c: Column, i: Column) -> Column:
+        pick = lambda base, n: F.char(F.lit(base) + _nibble(h, i, n))
+        wide = lambda letters: F.substring(F.lit(letters), _nibble(h, i, len(letters)) + 1, F.lit(1))
+        return (
+            F.when(c.between("0", "9"), pick(48, 10)).when(c.between("a", "z"), pick(97, 26)).when(c.between("A", "Z"), pick(65, 26))
+            .when(c.between("а", "я"), wide("абвгдежзиклмнопрстуфхцчшщэюя")).when(c.between("А", "Я"), wide("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"))
+            .when(c.rlike(r"^\p{Lu}$"), pick(65, 26)).when(c.rlike(r"^\p{Ll}$"), pick(97, 26)).otherwise(c)
+        )
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _hex(h: Column, text: Column, upper: Column) -> Column:
+    out = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.lower(F.conv(_nibble(h, i, 16).cast("string"), 10, 16))), "")
+    return F.when(upper, F.upper(out)).otherwise(out)
+
+
+def _luhn(digits: Column) -> Column:
+    """The sum whose last digit a card number's check makes 0."""
+    n = F.length(digits)
+    return F.aggregate(
+        F.transform(F.split(digits, ""), lambda c, i: F.when((n - i) % 2 == 0, F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int") + 1)).otherwise(c.cast("int"))),
+        F.lit(0), lambda a, x: a + x,
+    )
+
+
+def surrogate(kind: Column, canon: Column, key: str, draw: Column) -> Column:
+    """The canonical replacement of a canonical entity at a draw."""
+    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
+    letters = _letters(h, canon)
+    number = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.char(F.lit(48) + F.when(i == 0, 1 + _nibble(h, i, 9)).otherwise(_nibble(h, i, 10)))), "")
+    stem = F.substring(number, F.lit(1), F.length(number) - 1)
+    check = ((10 - _luhn(F.concat(stem, F.lit("0"))) % 10) % 10).cast("string")
+    card = F.when(_luhn(canon) % 10 == 0, F.concat(stem, check)).otherwise(number)
+    # a phone keeps its country and an exchange that may exist: the last ten digits change
+    tail = F.array_join(F.transform(F.split(F.right(canon, F.lit(10)), ""), lambda c, i: F.char(F.lit(48) + F.when(i.isin(0, 3), 2 + _nibble(h, i, 8)).otherwise(_nibble(h, i, 10)))), "")
+    phone = F.concat(F.substring(canon, F.lit(1), F.greatest(F.length(canon) - 10, F.lit(0))), tail)
+    ip = F.array_join(F.transform(F.split(canon, r"\."), lambda c, i: (1 + _nibble(h, i * 7, 254)).cast("string")), ".")
+    # an address keeps its top domain and shape
+    top = F.regexp_extract(canon, r"(\.[A-Za-z]+)$", 1)
+    email = F.concat(_letters(h, F.substring(canon, F.lit(1), F.length(canon) - F.length(top))), top)
+    secret = F.when(canon.rlike("^[0-9a-f]+$"), _hex(h, canon, F.lit(False))).when(canon.rlike("^[0-9A-F]+$"), _hex(h, canon, F.lit(True))).otherwise(
+        F.concat(F.regexp_extract(canon, r"^(AKIA|ghp_|sk-|xox[bp]-|)", 1), _letters(h, F.regexp_replace(canon, r"^(?:AKIA|ghp_|sk-|xox[bp]-)", ""))))
+    iban = F.concat(F.substring(canon, 1, 2), F.substring(letters, F.lit(3), F.length(letters)))
+    given, family = F.regexp_extract(canon, r"^(\S+)", 1), F.regexp_extract(canon, r"^\S+( \S+)?", 1)
+    pools = {"m": _MALE, "f": _FEMALE, "mc": _MALE_CYRILLIC, "fc": _FEMALE_CYRILLIC}
+    named = None
+    for pool in pools.values():
+        pick = F.element_at(F.array(*[F.lit(x) for x in pool]), 1 + _nibble(h, F.lit(30), len(pool)))
+        named = F.when(given.isin(pool), pick) if named is None else named.when(given.isin(pool), pick)
+    name = F.concat(named.otherwise(_letters(h, given)), _letters(F.sha2(h, 512), family))
+    return (
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
+        .when(kind == "ssn", number).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
+    )
+
+
+def dress(kind: Column, entity: Column, new: Column) -> Column:
+    """A canonical replacement written as the entity was."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
+    spaced = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+    cased = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c)), "")
+    title = F.regexp_extract(entity, rf"^((?:{_HE}|{_SHE})\.? )", 1)
+    return F.when(kind.isin("phone", "card", "ssn"), spaced).when(kind == "email", cased).when(kind == "name", F.concat(title, new)).otherwise(new)
+
+
+def entities(texts: DataFrame) -> DataFrame:
+    """Distinct (kind, canon) of all of ``texts`` (text)."""
+    e = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ALL), F.lit(0))).alias("e"))
+    e = e.select(kind_of(F.col("e")).alias("kind"), "e")
+    return e.select("kind", canonical(F.col("kind"), F.col("e")).alias("canon")).distinct()
+
+
+def redraws(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(kind, canon, draw) for the entities whose first replacement won't do; draw counts from 1.
+
+    Of entities that share a replacement the least keeps it; a replacement that is itself an
+    entity of the corpus is given up by whoever drew it. Each turn only redraws what failed and
+    checks it against all.
+    """
+    now = scratch.write(known.select("kind", "canon", F.lit(0).alias("draw"), surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("new")), "drawn")
+    while True:
+        shared = now.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("draw", "canon")).alias("first"))
+        taken = known.select("kind", F.col("canon").alias("new"))
+        bad = now.join(shared.filter("n > 1"), ["kind", "new"]).filter(F.struct("draw", "canon") != F.col("first")).select("kind", "canon", "draw")
+        bad = bad.union(now.join(taken, ["kind", "new"], "left_semi").select("kind", "canon", "draw")).distinct()
+        bad = scratch.write(bad, "bad")
+        if bad.isEmpty():
+            return now.filter("draw > 0").select("kind", "canon", "draw")
+        again = bad.select("kind", "canon", (F.col("draw") + 1).alias("draw"))
+        again = again.withColumn("new", surrogate(F.col("kind"), F.col("canon"), key, F.col("draw")))
+        now = scratch.write(now.join(bad, ["kind", "canon"], "left_anti").select("kind", "canon", "draw", "new").union(again), "drawn")
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` rewritten and ``n_entities`` (long) added.
+
+    A null text stays null with 0 entities, a text without entities stays as it is. Rows and other columns
+    are kept; a column named ``n_entities`` is replaced. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "pii")
+    docs = docs.drop("n_entities")
+    text = F.col(f"`{text_col}`")
+    known = scratch.write(entities(docs.select(text.cast("string").alias("text"))), "entities")
+    again = redraws(known, key, scratch)
+    rows = [tuple(r) for r in again.limit(LITERAL + 1).collect()]
+    matches = F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
+    split = docs.withColumns({"_weir_found": matches, "_weir_parts": F.split(text, ALL, -1)})
+    if len(rows) <= LITERAL:
+        table = F.create_map(*[F.lit(x) for k, c, d in rows for x in (f"{k}\x1f{c}", d)]) if rows else None
+
+        def draw(kind: Column, canon: Column) -> Column:
+            return F.coalesce(F.element_at(table, F.concat_ws("\x1f", kind, canon)), F.lit(0)) if table is not None else F.lit(0)
+
+        def one(e: Column) -> Column:
+            kind = kind_of(e)
+            canon = canonical(kind, e)
+            return dress(kind, e, surrogate(kind, canon, key, draw(kind, canon)))
+
+        new = split.withColumn("_weir_new", F.transform("_weir_found", one))
+    else:
+        # rows get a written number, entities go their own way, and what they become comes back in order
+        numbered = scratch.write(split.withColumn("_weir_row", F.monotonically_increasing_id()), "rows")
+        e = numbered.select("_weir_row", F.posexplode("_weir_found").alias("at", "e")).withColumn("kind", kind_of(F.col("e")))
+        e = e.withColumn("canon", canonical(F.col("kind"), F.col("e"))).join(again, ["kind", "canon"], "left")
+        e = e.withColumn("new", dress(F.col("kind"), F.col("e"), surrogate(F.col("kind"), F.col("canon"), key, F.coalesce("draw", F.lit(0)))))
+        back = e.groupBy("_weir_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_weir_new"))
+        new = numbered.join(back, "_weir_row", "left").withColumn("_weir_new", F.coalesce("_weir_new", F.array().cast("array<string>")))
+    joined = F.array_join(F.transform("_weir_parts", lambda p, i: F.concat(p, F.coalesce(F.get("_weir_new", i), F.lit("")))), "")
+    out = F.when(F.size("_weir_found") > 0, joined).otherwise(text)
+    columns = [out.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return new.select(*columns, F.coalesce(F.size("_weir_found"), F.lit(0)).cast("long").alias("n_entities"))
+
+
+def op10_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their entities replaced."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return replace_entities(docs, spark.conf.get("weir.pii.key", "weir-demonstration-key"))
