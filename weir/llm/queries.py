@@ -6,7 +6,9 @@ from weir.llm.bpe import op5_lexicon_bpe
 from weir.llm.decontam import op3_positional_index
 from weir.llm.langid import op8_script_viterbi
 from weir.llm.near_dedup import op2_circulant_minhash
+from weir.llm.pii import op10_keyed_surrogates
 from weir.llm.sharding import op1_histogram_shards
+from weir.llm.toxicity import op9_crf_toxicity
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
@@ -14,6 +16,8 @@ QUERIES = {
     "op3_positional_index": op3_positional_index,
     "op5_lexicon_bpe": op5_lexicon_bpe,
     "op8_script_viterbi": op8_script_viterbi,
+    "op9_crf_toxicity": op9_crf_toxicity,
+    "op10_keyed_surrogates": op10_keyed_surrogates,
 }
 
 ORACLES: dict[str, str] = {}
