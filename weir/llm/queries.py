@@ -5,6 +5,7 @@ from __future__ import annotations
 from weir.llm.bpe import op5_lexicon_bpe
 from weir.llm.decontam import op3_positional_index
 from weir.llm.langid import op8_script_viterbi
+from weir.llm.media import op6_gear_chunks
 from weir.llm.near_dedup import op2_circulant_minhash
 from weir.llm.pii import op10_keyed_surrogates
 from weir.llm.sharding import op1_histogram_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_circulant_minhash": op2_circulant_minhash,
     "op3_positional_index": op3_positional_index,
     "op5_lexicon_bpe": op5_lexicon_bpe,
+    "op6_gear_chunks": op6_gear_chunks,
     "op8_script_viterbi": op8_script_viterbi,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_keyed_surrogates": op10_keyed_surrogates,
