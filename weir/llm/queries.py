@@ -5,6 +5,7 @@ from __future__ import annotations
 from weir.llm.bpe import op5_lexicon_bpe
 from weir.llm.decontam import op3_positional_index
 from weir.llm.langid import op8_script_viterbi
+from weir.llm.lm import op4_log_bilinear
 from weir.llm.media import op6_gear_chunks
 from weir.llm.near_dedup import op2_circulant_minhash
 from weir.llm.pii import op10_keyed_surrogates
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_circulant_minhash": op2_circulant_minhash,
     "op3_positional_index": op3_positional_index,
+    "op4_log_bilinear": op4_log_bilinear,
     "op5_lexicon_bpe": op5_lexicon_bpe,
     "op6_gear_chunks": op6_gear_chunks,
     "op8_script_viterbi": op8_script_viterbi,
