@@ -10,6 +10,7 @@ from weir.llm.media import op6_gear_chunks
 from weir.llm.near_dedup import op2_circulant_minhash
 from weir.llm.pii import op10_keyed_surrogates
 from weir.llm.sharding import op1_histogram_shards
+from weir.llm.suffix_dedup import op7_cover_suffixes
 from weir.llm.toxicity import op9_crf_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_log_bilinear": op4_log_bilinear,
     "op5_lexicon_bpe": op5_lexicon_bpe,
     "op6_gear_chunks": op6_gear_chunks,
+    "op7_cover_suffixes": op7_cover_suffixes,
     "op8_script_viterbi": op8_script_viterbi,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_keyed_surrogates": op10_keyed_surrogates,
