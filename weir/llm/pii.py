@@ -26,31 +26,41 @@ _FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Т
 _HE, _SHE = "Mr|Sir|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
 
 #: In order: what matches earlier is taken. Lookbehinds keep a search from starting inside a word.
+_TOKEN = r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z-]{12,128})(?![0-9A-Za-z_])"
+_QUOTED = r"(?<=(?:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,200}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\dA-Za-z])\d{13,19}(?![\dA-Za-z])",
     "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d(+])\+\d{8,15}(?!\d)",
-    "secret": r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z-]{12,128})(?![0-9A-Za-z_])"
-    r"|(?<=(?:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,200}",
+    "secret": f"{_TOKEN}|{_QUOTED}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:{_HE}|{_SHE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?"
     rf"|(?<![\p{{L}}])(?:{'|'.join(_MALE + _FEMALE + _MALE_CYRILLIC + _FEMALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}}(?!\p{{L}})",
 }
-#: A place where an entity can begin is tried only if it starts a word, which spares most of a text.
-ALL = r"(?<![\p{L}](?=[\p{L}]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+_WORD = r"A-Za-z0-9\u00C0-\u024F\u0370-\u052F"
+#: All types. An entity starts a word, and its first character leaves few types to try, which spares most of a text.
+ALL = (
+    rf"(?<![{_WORD}])(?:(?:{PATTERNS['email']})"
+    rf"|(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'ssn', 'card', 'phone'))})"
+    rf"|(?=[0-9A-Fa-fgsx])(?:{_TOKEN})|(?<=[\"'])(?:{_QUOTED})"
+    rf"|(?=[A-Z])(?:{PATTERNS['iban']})|(?=[A-Z\u0400-\u04FF])(?:{PATTERNS['name']}))"
+)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def kind_of(entity: Column) -> Column:
     """The type of a whole entity."""
     out = None
     for name, p in PATTERNS.items():
-        whole = "^(?:" + p + ")$" if name != "secret" else None
-        test = entity.rlike(whole) if whole else None
-        if test is None:
-            continue
-        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
+        if name != "secret":  # what no other type matches
+            test = entity.rlike("^(?:" + p + ")$")
+            out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
     return out.otherwise(F.lit("secret"))
 
 
@@ -97,6 +107,10 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind: Column, canon: Column, key: str, draw: Column) -> Column:
     """The canonical replacement of a canonical entity at a draw."""
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
+    return let(F.struct(h.alias("h"), kind.alias("kind"), canon.alias("canon")), lambda x: _surrogate(x["h"], x["kind"], x["canon"]))
+
+
+def _surrogate(h: Column, kind: Column, canon: Column) -> Column:
     letters = _letters(h, canon)
     number = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.char(F.lit(48) + F.when(i == 0, 1 + _nibble(h, i, 9)).otherwise(_nibble(h, i, 10)))), "")
     stem = F.substring(number, F.lit(1), F.length(number) - 1)
@@ -175,7 +189,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     again = redraws(known, key, scratch)
     rows = [tuple(r) for r in again.limit(LITERAL + 1).collect()]
     matches = F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
-    split = docs.withColumns({"_weir_found": matches, "_weir_parts": F.split(text, ALL, -1)})
+    split = docs.withColumns({"_weir_found": matches, })
+    # only the few texts that have an entity are split
+    split = split.withColumn("_weir_parts", F.when(F.size("_weir_found") > 0, F.split(text, ALL, -1)))
     if len(rows) <= LITERAL:
         table = F.create_map(*[F.lit(x) for k, c, d in rows for x in (f"{k}\x1f{c}", d)]) if rows else None
 
@@ -183,9 +199,13 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
             return F.coalesce(F.element_at(table, F.concat_ws("\x1f", kind, canon)), F.lit(0)) if table is not None else F.lit(0)
 
         def one(e: Column) -> Column:
-            kind = kind_of(e)
-            canon = canonical(kind, e)
-            return dress(kind, e, surrogate(kind, canon, key, draw(kind, canon)))
+            def with_kind(kind: Column) -> Column:
+                def with_canon(canon: Column) -> Column:
+                    return let(surrogate(kind, canon, key, draw(kind, canon)), lambda s: dress(kind, e, s))
+
+                return let(canonical(kind, e), with_canon)
+
+            return let(kind_of(e), with_kind)
 
         new = split.withColumn("_weir_new", F.transform("_weir_found", one))
     else:
