@@ -43,7 +43,8 @@ def entropy(x: Column, bins: int = 10) -> Column:
     low, width = F.when(hi > lo, lo).otherwise(lo - 0.5), F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
     place = F.transform(x, lambda v: F.least(F.floor((v - low) / width * bins), F.lit(bins - 1)).cast("int"))
     n = F.size(x).cast("double")
-    counts = [F.size(F.filter(place, lambda p, k=k: p == k)).cast("double") for k in range(bins)]
+    in_bin = lambda k: F.size(F.filter(place, lambda p: p == k)).cast("double")
+    counts = [in_bin(k) for k in range(bins)]
     bits = F.aggregate(F.array(*counts), F.lit(0.0), lambda a, k: a - F.when(k > 0, (k / n) * F.log2(k / n)).otherwise(0.0))
     return _or(bits, F.size(x) > 1)
 
