@@ -66,7 +66,7 @@ def drift(df: DataFrame, source: str, features: list[str], bins: int = 50) -> Da
     sums = hist.groupBy(*key).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.collect_list(F.struct("a", "b")).alias("h")).join(F.broadcast(edges), key)
     eps = 1e-12
     k = F.size("edges") - 1
-    share = lambda x, t: (x / t + eps) / (1 + eps * k)
+    share = lambda x, t: (x + eps) / (t + eps * k)
 
     def part(x):
         p, q = share(x["a"], F.col("ta")), share(x["b"], F.col("tb"))
@@ -74,7 +74,7 @@ def drift(df: DataFrame, source: str, features: list[str], bins: int = 50) -> Da
         return p * F.log2(p / m) + q * F.log2(q / m)
 
     value = F.sqrt(F.greatest(F.aggregate("h", F.lit(0.0), lambda s, x: s + part(x)) / 2, F.lit(0.0)))
-    flat = (F.size("edges") < 2) | (F.col("hi") - F.col("lo") < 1e-12)
+    flat = (F.size("edges") < 2) | (F.col("hi") - F.col("lo") <= 1e-8 + 1e-5 * F.abs("lo"))
     return sums.select(*key, F.when(flat, 0.0).otherwise(value).alias("jsd"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Substrings of labels that speak of mining. Fixed values.
-MINING = ("miner", "mining", "monero", "xmr", "stratum", "cryptojack")
+MINING = ("miner", "mining", "cryptomining", "stratum", "xmr", "monero")
 
 
 def columns_named(df: DataFrame, names: list[str]) -> list[Column]:
@@ -117,8 +117,8 @@ def placeholders(df: DataFrame, name: str, order: list, **constants) -> DataFram
     return df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("_i")).select(F.concat(F.lit(name + ":"), F.col("_i").cast("string")).alias("source_record_id"), *[F.lit(v).alias(k) for k, v in constants.items()])
 
 
-def canonical_values(df: DataFrame, columns: list[str], pads: tuple[str, ...] = ("", "nan", "none", "null")) -> DataFrame:
-    """``columns`` as canonical text: blanks for missing, six significant digits for numbers, as C prints them.
+def canonical_values(df: DataFrame, columns: list[str], padding: dict | None = None) -> DataFrame:
+    """``columns`` as canonical text: six significant digits for fractions, as C prints them; a missing or unfinite value takes its column's ``padding`` (0 for numbers, else blank).
 
     Java's formatter rounds ties the other way and keeps zeros, so this goes through Arrow batches.
     """
@@ -127,16 +127,18 @@ def canonical_values(df: DataFrame, columns: list[str], pads: tuple[str, ...] =
     names = [f"{c}_text" for c in columns]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
 
-    def one(v) -> str:
-        if v is None or (isinstance(v, str) and v.strip().lower() in pads):
-            return ""
-        if isinstance(v, float):
-            return "" if v != v else f"{v:.6g}"
-        return str(v)
+    numbers = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
+    default = {c: (padding or {}).get(c, 0 if numbers[c] else "") for c in columns}
+    fraction = {f.name: isinstance(f.dataType, T.FractionalType) for f in df.schema.fields}
+
+    def one(v, c: str) -> str:
+        if v is None or v == "" or (fraction[c] and not abs(v) < float("inf")):
+            v = default[c]
+        return f"{float(v):.6g}" if fraction[c] else str(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [pa.array([one(v) for v in b.column(b.schema.get_field_index(c)).to_pylist()], pa.string()) for c in columns]
+            new = [pa.array([one(v, c) for v in b.column(b.schema.get_field_index(c)).to_pylist()], pa.string()) for c in columns]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     return df.mapInArrow(run, schema)
@@ -147,11 +149,12 @@ def features(schema: T.StructType, groups: set[str] | None = None, exclude: set[
     return [f.name for f in schema.fields if f.metadata.get("model") and (groups is None or f.metadata.get("group") in groups) and f.name not in exclude and not isinstance(f.dataType, T.ArrayType)]
 
 
-def slices(has_tls: Column, sequence: Column) -> dict[str, Column]:
+def slices(source: Column, has_tls: Column, sequence: Column) -> dict[str, Column]:
+    """Reporting slices of a row: by source, TLS, sequence, and all three."""
     a = F.when(has_tls == 1, "tls").otherwise("non_tls")
     b = F.when(sequence == 1, "sequence_available").otherwise("sequence_unavailable")
-    return {"tls_slice": a, "sequence_slice": b, "tls_sequence_slice": F.concat_ws("__", a, b)}
+    return {"source": source, "tls_slice": a, "sequence_slice": b, "source_tls_sequence_slice": F.concat_ws("__", source, a, b)}
 
 
 def source_role(positive: Column, negative: Column) -> Column:
-    return F.when((positive > 0) & (negative > 0), "mixed").when(positive > 0, "mining").otherwise("non_mining")
+    return F.when((positive > 0) & (negative == 0), "mining_source").when((negative > 0) & (positive == 0), "non_mining_source").otherwise("mixed_source")

@@ -32,20 +32,20 @@ def stratified_split(df: DataFrame, row: str, stratum: str, test_share: float =
 
 
 def group_split(groups: DataFrame, group: str, size: str, targets: dict[str, float] = SPLITS) -> DataFrame:
-    """``groups`` with ``split``: greedy in order of size and group, each to the split that it fills least.
+    """``groups`` with ``split``: greedy in order of size and the hash of ``group`` (text), each to the split that it fills least.
 
     Groups are files, of which there are few; their order makes the assignment one after the other, so it runs as one
-    fold over one sorted array. A split is chosen by projected, then current share of its target, then name hash.
+    fold over one sorted array. A split is chosen by projected, then current share of its target, then a hash of group and split.
     """
     total = F.aggregate("_g", F.lit(0.0), lambda a, g: a + g["n"].cast("double"))
-    rows = groups.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("_o"), F.col(group).alias("g"), F.col(size).alias("n")))).alias("_g"))
+    rows = groups.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("_o"), F.sha2(F.col(group), 256).alias("_h"), F.col(group).alias("g"), F.col(size).alias("n")))).alias("_g"))
     rows = rows.withColumn("_total", total)
     names = list(targets)
-    goal = {k: F.col("_total") * v for k, v in targets.items()}
+    goal = {k: F.greatest(F.col("_total") * v, F.lit(1.0)) for k, v in targets.items()}
 
     def step(a, g):
         options = F.array_min(F.array(*[
-            F.struct(((a[k] + g["n"]) / goal[k]).alias("p"), (a[k] / goal[k]).alias("c"), F.sha2(F.concat(g["g"].cast("string"), F.lit(":" + k)), 256).alias("h"), F.lit(k).alias("k")) for k in names
+            F.struct(((a[k] + g["n"]) / goal[k]).alias("p"), (a[k] / goal[k]).alias("c"), F.sha2(F.concat(g["g"], F.lit(k)), 256).alias("h"), F.lit(k).alias("k")) for k in names
         ]))["k"]
         return F.struct(*[(a[k] + F.when(options == k, g["n"].cast("double")).otherwise(0.0)).alias(k) for k in names], F.array_append(a["done"], F.struct(g["g"].alias("g"), options.alias("s"))).alias("done"))
 

@@ -59,7 +59,7 @@ def sk02(spark, d):
     return e.select(*sinks.scalar_columns(e))
 
 
-@query("sk06_provenance", "SELECT doc_id AS sample_id, (n_chars % 2)::BIGINT AS label, source, NULL::VARCHAR AS source_file, NULL::VARCHAR AS source_record_id, NULL::VARCHAR AS source_role, NULL::VARCHAR AS label_source, NULL::VARCHAR AS extract_status, NULL::VARCHAR AS license, NULL::VARCHAR AS collected_at FROM documents")
+@query("sk06_provenance", "SELECT doc_id AS sample_id, (n_chars % 2)::BIGINT AS label, source, " + ", ".join(f"NULL::VARCHAR AS {c}" for c in sinks.PROVENANCE if c != "source") + " FROM documents")
 def sk06(spark, d):
     return sinks.provenance(table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), (F.col("n_chars") % 2).alias("label"), "source"))
 

@@ -171,7 +171,7 @@ LABELS = ["Benign", "benign", "C&C", "XMRigMiner", "CoinMining", "", None, "Part
 
 
 @query("pf05_pf08_pf09_labels", """
-SELECT i::INTEGER AS i, v, coalesce(trim(v) <> '' AND NOT regexp_matches(lower(v), 'miner|mining|monero|xmr|stratum|cryptojack'), false) AS allowed, CASE WHEN contains(lower(v), 'benign') THEN 'benign' ELSE 'malware/attack' END AS class, coalesce(lower(trim(v)) = 'benign', false) AS is_benign
+SELECT i::INTEGER AS i, v, coalesce(trim(v) <> '' AND NOT regexp_matches(lower(v), 'miner|mining|cryptomining|stratum|xmr|monero'), false) AS allowed, CASE WHEN contains(lower(v), 'benign') THEN 'benign' ELSE 'malware/attack' END AS class, coalesce(lower(trim(v)) = 'benign', false) AS is_benign
 FROM (VALUES (0,'Benign'),(1,'benign'),(2,'C&C'),(3,'XMRigMiner'),(4,'CoinMining'),(5,''),(6,NULL),(7,'PartOfAHorizontalPortScan'),(8,'benign mining')) AS t(i, v)""")
 def pf05(spark, d):
     t = spark.createDataFrame([*enumerate(LABELS)], "i int, v string")
@@ -214,11 +214,11 @@ def pf18(spark, d):
 
 
 @query("pf19_ag10_slices", """
-WITH s AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'tls' ELSE 'non_tls' END AS a, CASE WHEN l_linestatus = 'F' THEN 'sequence_available' ELSE 'sequence_unavailable' END AS b FROM lineitem)
-SELECT slice_type, slice_value, count(*) AS n FROM (SELECT 'tls_slice' AS slice_type, a AS slice_value FROM s UNION ALL SELECT 'sequence_slice', b FROM s UNION ALL SELECT 'tls_sequence_slice', a || '__' || b FROM s) GROUP BY ALL""")
+WITH s AS (SELECT l_linenumber::VARCHAR AS o, CASE WHEN l_returnflag = 'A' THEN 'tls' ELSE 'non_tls' END AS a, CASE WHEN l_linestatus = 'F' THEN 'sequence_available' ELSE 'sequence_unavailable' END AS b FROM lineitem)
+SELECT slice_type, slice_value, count(*) AS n FROM (SELECT 'source' AS slice_type, o AS slice_value FROM s UNION ALL SELECT 'tls_slice', a FROM s UNION ALL SELECT 'sequence_slice', b FROM s UNION ALL SELECT 'source_tls_sequence_slice', o || '__' || a || '__' || b FROM s) GROUP BY ALL""")
 def pf19(spark, d):
     li = table(spark, d, "lineitem")
-    s = shaping.slices((F.col("l_returnflag") == "A").cast("int"), (F.col("l_linestatus") == "F").cast("int"))
+    s = shaping.slices(F.col("l_linenumber").cast("string"), (F.col("l_returnflag") == "A").cast("int"), (F.col("l_linestatus") == "F").cast("int"))
     # counted once by all slices, then spread to the few slice types
     c = li.groupBy(*[v.alias(k) for k, v in s.items()]).agg(F.count("*").alias("n"))
     parts = F.array(*[F.struct(F.lit(k).alias("slice_type"), F.col(k).alias("slice_value")) for k in s])
@@ -226,7 +226,7 @@ def pf19(spark, d):
 
 
 @query("pf20_ag08_source_roles", """
-SELECT source, count(*) AS total, sum(toxic)::BIGINT AS label_1, (count(*) - sum(toxic))::BIGINT AS label_0, CASE WHEN sum(toxic) > 0 AND sum(toxic) < count(*) THEN 'mixed' WHEN sum(toxic) > 0 THEN 'mining' ELSE 'non_mining' END AS role
+SELECT source, count(*) AS total, sum(toxic)::BIGINT AS label_1, (count(*) - sum(toxic))::BIGINT AS label_0, CASE WHEN sum(toxic) = count(*) THEN 'mining_source' WHEN sum(toxic) = 0 THEN 'non_mining_source' ELSE 'mixed_source' END AS role
 FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def pf20(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("total"), F.sum("toxic").cast("long").alias("label_1"))

@@ -75,14 +75,14 @@ def wn12(spark, d):
 def wn13(spark, d):
     """Greedy balanced split of (lang, source) groups, held against a plain loop in the tests."""
     g = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return splits.group_split(g.withColumn("gid", fn.file_group_id(F.col("lang"), F.col("source"))), "gid", "n")
+    return splits.group_split(g.withColumn("key", F.concat_ws("\0", "lang", "source")), "key", "n")
 
 
 @query("jn10_group_split_rows")
 def jn10(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", fn.file_group_id(F.col("lang"), F.col("source")).alias("gid"))
-    g = splits.group_split(docs.groupBy("gid").agg(F.count("*").alias("n")), "gid", "n")
-    return docs.join(F.broadcast(g.select("gid", "split")), "gid")  # groups are files: few
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("\0", "lang", "source").alias("key"))
+    g = splits.group_split(docs.groupBy("key").agg(F.count("*").alias("n")), "key", "n")
+    return docs.join(F.broadcast(g.select("key", "split")), "key")  # groups are files: few
 
 
 @query("ag09_group_sizes", "SELECT lang, source, count(*) AS n, count(*) FILTER (n_chars % 2 = 1) AS label_1, count(*) FILTER (n_chars % 2 = 0) AS label_0 FROM documents GROUP BY 1, 2")

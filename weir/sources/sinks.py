@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Columns that say where a row came from. Fixed values.
-PROVENANCE = ["source", "source_file", "source_record_id", "source_role", "label_source", "extract_status", "license", "collected_at"]
+PROVENANCE = ["source", "source_role", "source_file", "source_record_id", "original_label", "extract_status", "quality_notes", "hard_negative_type"]
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
