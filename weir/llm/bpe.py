@@ -17,8 +17,10 @@ import os
 import re
 import tempfile
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -270,14 +272,12 @@ def frequent_words(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> list[s
     """The ``n`` words that occur most in ``docs`` (id, text), by exact counts; ties by the word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         vocab, seen = _vocabulary(vocabulary), Counter()
         for b in batches:
             for _, _, texts in _strings(b):
                 for t in texts:
                     for part in vocab.cut.split(t)[::2] if vocab.cut and vocab.first in t else (t,):
-                        seen.update(w for w in vocab.pieces(part) if len(w) <= 64)
+                        seen.update(vocab.pieces(part))
                 if len(seen) > _MEMO:
                     yield _counted(seen)
                     seen = Counter()
@@ -288,6 +288,8 @@ def frequent_words(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> list[s
 
 
 def _counted(seen) -> pa.RecordBatch:
+    """Words and counts; words of over 64 characters are no frequent ones."""
+    seen = {w: n for w, n in seen.items() if len(w) <= 64}
     return pa.RecordBatch.from_arrays([_text.binary([w.encode("utf-8", "surrogateescape") for w in seen]), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
@@ -311,19 +313,21 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         shown = [token[k] for k in range(max(token) + 1)] if len(token) == max(token) + 1 else token
 
         def made(ids) -> tuple[bytes, str]:
-            return np.asarray(ids, "<u4").tobytes(), " ".join([shown[x] for x in ids])
+            return pack(f"<{len(ids)}I", *ids), " ".join([shown[x] for x in ids])
 
         for b in batches:
             for i, j, texts in _strings(b):
-                number: dict[str, int] = {}
+                number: defaultdict = defaultdict()
+                number.default_factory = number.__len__  # a new word gets the next number
+                code = number.__getitem__
                 codes, sizes = [], []
                 for t in texts:
                     k = len(codes)
                     for p, part in enumerate(vocab.cut.split(t)) if vocab.cut and vocab.first in t else ((0, t),):
                         if p % 2:  # a special string, told from the word by its type
-                            codes.append(number.setdefault((part,), len(number)))
+                            codes.append(code((part,)))
                         else:
-                            codes += [number.setdefault(w, len(number)) for w in vocab.pieces(part)]
+                            codes += map(code, vocab.pieces(part))
                     sizes.append(len(codes) - k)
                 plain = [w for w in number if isinstance(w, str)]
                 found = dict(zip(plain, lex.numbers([w.encode("utf-8", "surrogateescape") for w in plain]).tolist()))
@@ -343,8 +347,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 for n in sizes:
                     own = codes[at : at + n]
                     at += n
-                    whole = b"".join([raw[c] for c in own])
-                    text = " ".join([strings[c] for c in own])
+                    whole = b"".join(map(raw.__getitem__, own))
+                    text = " ".join(map(strings.__getitem__, own))
                     n_tokens.append(len(whole) // 4)
                     shas.append(hashlib.sha256(whole).hexdigest())
                     shas2.append(hashlib.sha256(text.encode()).hexdigest())
