@@ -2,7 +2,9 @@
 
 Candidates: of the 128 strings of 273 bytes in a 400-byte window, the one with the least hash is its
 anchor. Equal windows have equal anchors at equal offsets, so only windows whose anchor's
-string occurs twice anywhere can repeat; those windows, with their bytes, go to the bucket of that string.
+string occurs twice anywhere can repeat; they go to the bucket of that string. Buckets are told by counts of hashes; a
+Bloom filter of the buckets that matter goes to the texts, which so never move, and where it would pass its bound the buckets
+take turns. Texts of a bucket meet by digest first, and only those of a bucket that holds different ones send their bytes.
 
 Sorting: one suffix bucket at a time. Suffixes of a bucket are ordered by offset, their first 32 and last 48
 bytes. What ties is resolved by ranks of a difference cover modulo 32, computed beforehand for the bucket's
@@ -36,6 +38,8 @@ CAP = 8192
 _BATCH = 2 << 20
 #: Estimated bytes up to which what is known of documents is broadcast to them; beyond it both are shuffled.
 BROADCAST = 32 << 20
+#: Bits of a filter that is sent to the texts; more buckets than fit take turns.
+FILTER_BITS = 1 << 29
 _V = 32
 _HEAD, _DEEP = 32, 352
 _TAIL = LENGTH - _DEEP
@@ -86,47 +90,114 @@ def _anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[new], at[new] - base, place[new] - base, place[last] - base, value[at[new]].view(np.int64)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text) to (core, tid, anchor, lo, hi)."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Of (tid, text): (bytes, offsets, tids, 64 bits of each tid, (row, anchor, first window, last window, hash)) by blocks."""
     for b in batches:
         data, off, _ = _text.column(b, "text")
+        tids = b.column(0)
+        short = np.array([int.from_bytes(t[:8], "little") for t in tids.to_pylist()], np.uint64)
         for i, j in _text.blocks(off):
             if off[j] - off[i] > 2 * _text.BLOCK:  # one long text, by ranges of its windows
                 for s in range(int(off[i]), int(off[j]), _text.BLOCK):
                     own = data[s : min(s + _text.BLOCK + LENGTH - 1, off[j])]
-                    _, anchor, lo, hi, h = _anchors(own, np.array([0, len(own)]))
+                    row, anchor, lo, hi, h = _anchors(own, np.array([0, len(own)]))
                     s -= int(off[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(0).take(pa.array(np.full(len(h), i))), *(pa.array(x + s, pa.int64()) for x in (anchor, lo, hi))], ["core", "tid", "anchor", "lo", "hi"])
+                    yield data, off, tids, short, (row + i, anchor + s, lo + s, hi + s, h)
                 continue
-            row, anchor, lo, hi, h = _anchors(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(0).take(pa.array(row + i)), *(pa.array(x, pa.int64()) for x in (anchor, lo, hi))], ["core", "tid", "anchor", "lo", "hi"])
+            row, *rest = _anchors(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield data, off, tids, short, (row + i, *rest)
+
+
+def _place(short: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits that tell a place of a text."""
+    return _text.mix(short * np.uint64(3) + _text.mix(at.astype(np.uint64)))
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, text) to (core, place)."""
+    for _, _, _, short, (row, anchor, _, _, h) in _runs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(_place(short[row], anchor).view(np.int64))], ["core", "place"])
+
+
+def _probes(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    h = keys.astype(np.int64).view(np.uint64)
+    for _ in range(3):
+        h = _text.mix(h + np.uint64(77))
+        yield (h & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _among(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter; all that are in it are."""
+    ok = np.ones(len(keys), bool)
+    for at in _probes(keys, len(bloom) * 64):
+        ok &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return ok
+
+
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of a table of one long column with ``n`` rows, 16 bits for each."""
+    bits = 1 << max(16, (16 * n).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate([*_probes(np.asarray(b.column(0)), bits)])
+            word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            order = np.argsort(word, kind="stable")
+            word, bit = word[order], bit[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(bit, first).view(np.int64))], ["word", "bits"])
+
+    found = arrow_map(keys, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _digest(x: bytes, before: int) -> bytes:
+    return hashlib.blake2b(x, digest_size=16, salt=before.to_bytes(8, "little")).digest()
+
 
+def _contexts(wanted, turn: int, turns: int):
+    """(tid, text) to (core, cid, before, windows, tid, lo) for runs whose core may be wanted."""
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, text, runs) to (core, cid, before, windows, bytes, tid, lo); bytes only where a task first sees them."""
-    seen: set[bytes] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        for data, off, tids, _, (row, anchor, lo, hi, h) in _runs(batches):
+            at = np.flatnonzero(_among(h, wanted.value) & (h % turns == turn))
+            tid = tids.take(pa.array(row[at])).to_pylist()
+            out = []
+            for t, r, c, a, z, core in zip(tid, row[at].tolist(), anchor[at].tolist(), lo[at].tolist(), hi[at].tolist(), h[at].tolist()):
+                out.append((core, _digest(data[off[r] + a : off[r] + z + LENGTH].tobytes(), c - a), c - a, z - a + 1, t, a))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["core", "cid", "before", "windows", "tid", "lo"])
+
+    return run
+
+
+def _sender(cids: list[bytes], tids: list[bytes], lo: np.ndarray) -> np.ndarray:
+    """A key of the one place of a text that sends its bytes."""
+    short = lambda xs: np.array([int.from_bytes(x[:8], "little") for x in xs], np.uint64)
+    return (_text.mix(short(cids)) ^ _place(short(tids), np.asarray(lo))).view(np.int64)
+
+
+def _senders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, off, _ = _text.column(b, "text")
-        tids, out = b.column(0).to_pylist(), []
-        runs = b.column(2)
-        for k in range(b.num_rows):
-            for run in runs[k].as_py() or ():
-                x = data[off[k] + run["lo"] : off[k] + run["hi"] + LENGTH].tobytes()
-                before = run["anchor"] - run["lo"]
-                cid = hashlib.blake2b(x, digest_size=16, salt=before.to_bytes(8, "little")).digest()
-                out.append((run["core"], cid, before, run["hi"] - run["lo"] + 1, None if cid in seen else x, tids[k], run["lo"]))
-                seen.add(cid)
-            if len(seen) > 500_000:
-                seen.clear()
-            if len(out) > 4096:
-                yield _rows(out)
-                out = []
-        yield _rows(out)
+        yield pa.RecordBatch.from_arrays([pa.array(_sender(b.column(0).to_pylist(), b.column(1).to_pylist(), np.asarray(b.column(2))))], ["k"])
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["core", "cid", "before", "windows", "bytes", "tid", "lo"])
+def _bytes(wanted, senders):
+    """(tid, text) to (core, cid, bytes) for places that may send."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, off, tids, _, (row, anchor, lo, hi, h) in _runs(batches):
+            at = np.flatnonzero(_among(h, wanted.value))
+            tid = tids.take(pa.array(row[at])).to_pylist()
+            texts = [data[off[r] + a : off[r] + z + LENGTH].tobytes() for r, a, z in zip(row[at].tolist(), lo[at].tolist(), hi[at].tolist())]
+            cids = [_digest(x, int(n)) for x, n in zip(texts, anchor[at] - lo[at])]
+            sends = np.flatnonzero(_among(_sender(cids, tid, lo[at]), senders.value)) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(h[at][sends], pa.int64()), _text.binary([cids[k] for k in sends]), _text.binary([texts[k] for k in sends])], ["core", "cid", "bytes"])
+
+    return run
 
 
 def _halve(size: int):
@@ -247,6 +318,25 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(rows)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, runs of windows) to (tid, runs, n): overlapping and touching runs as one."""
+    for b in batches:
+        starts, ends, sizes = [], [], []
+        for runs in b.column(1).to_pylist():
+            merged: list[list[int]] = []
+            for a, z in sorted((r["a"], r["z"]) for r in runs):
+                if merged and a <= merged[-1][1] + 1:
+                    merged[-1][1] = max(merged[-1][1], z)
+                else:
+                    merged.append([a, z])
+            starts += [a for a, _ in merged]
+            ends += [z for _, z in merged]
+            sizes.append(len(merged))
+        off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        runs = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["a", "z"]))
+        yield pa.RecordBatch.from_arrays([b.column(0), runs, pa.array(sizes, pa.int64())], ["tid", "runs", "n"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, copied, runs) to what is removed and what is kept."""
     for b in batches:
@@ -294,20 +384,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = source.schema["id"].dataType.simpleString()
     long_ = source.filter(F.octet_length("text") >= LENGTH).select("tid", "text")
     copies = scratch.write(long_.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select("tid", F.lit(True).alias("copied")), "copies")
-    runs = arrow_map(long_, _find, "core long, tid binary, anchor long, lo long, hi long")
-    runs = scratch.write(runs, "anchors")
-    # an anchor that occurs in two places of different texts or of one
-    twice = runs.groupBy("core").agg(F.min(F.struct("tid", "anchor")).alias("x"), F.max(F.struct("tid", "anchor")).alias("y")).filter("x <> y").select("core")
-    runs = runs.join(twice, "core").distinct()
-    lists = scratch.write(runs.groupBy("tid").agg(F.collect_list(F.struct("core", "anchor", "lo", "hi")).alias("runs"), F.count("*").alias("n")), "lists")
-    n_lists = lists.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    with_runs = _to_texts(long_, lists.select("tid", "runs"), 24 * n_lists[0] + 40 * n_lists[1]).filter("runs is not null").select("tid", "text", "runs")
-    contexts = scratch.write(arrow_map(with_runs, _contexts, "core long, cid binary, before long, windows long, bytes binary, tid binary, lo long"), "contexts")
-    # equal texts of a bucket are one; those that occur in two places repeat whole
-    texts = contexts.groupBy("core", "cid", "before", "windows").agg(F.max("bytes").alias("bytes"), F.min(F.struct("tid", "lo")).alias("x"), F.max(F.struct("tid", "lo")).alias("y"))
-    texts = scratch.write(texts.select("core", "cid", "before", "windows", "bytes", F.col("x.lo").alias("lo"), (F.col("x") != F.col("y")).alias("again")), "texts")
-    whole = texts.filter("again").select("cid", F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).alias("to"))
-    rows = texts.select(F.col("core").alias("key"), "cid", "before", F.lit(0).cast("long").alias("at"), "windows", "bytes", "lo")
+    # an anchor that occurs in two places, of different texts or of one
+    places = arrow_map(long_, _find, "core long, place long").groupBy("core").agg(F.min("place").alias("x"), F.max("place").alias("y"))
+    twice = scratch.write(places.filter("x <> y").select("core"), "twice")
+    n_twice = twice.count()
+    send = docs.sparkSession.sparkContext.broadcast
+    turns = -(-32 * n_twice // FILTER_BITS) or 1
+    rows, contexts, whole = None, None, None
+    for turn in range(turns):
+        mine = twice.filter(F.pmod("core", F.lit(turns)) == turn)
+        wanted = send(_filter(mine, -(-n_twice // turns)))
+        found = scratch.write(arrow_map(long_, _contexts(wanted, turn, turns), "core long, cid binary, before long, windows long, tid binary, lo long"), "contexts")
+        # equal texts of a bucket are one; those that occur in two places repeat whole
+        texts = found.groupBy("core", "cid", "before", "windows").agg(F.min(F.struct("tid", "lo")).alias("x"), F.max(F.struct("tid", "lo")).alias("y"))
+        texts = scratch.write(texts.select("core", "cid", "before", "windows", "x.tid", "x.lo", (F.col("x") != F.col("y")).alias("again")), "texts")
+        mixed = texts.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
+        need = scratch.write(texts.join(mixed, "core").select("core", "cid", "before", "windows", "tid", "lo"), "need")
+        senders = send(_filter(arrow_map(need.select("cid", "tid", "lo"), _senders, "k long"), need.count()))
+        sent = arrow_map(long_, _bytes(wanted, senders), "core long, cid binary, bytes binary").groupBy("core", "cid").agg(F.max("bytes").alias("bytes"))
+        sorted_ = need.join(sent, ["core", "cid"]).select(F.col("core").alias("key"), "cid", "before", F.lit(0).cast("long").alias("at"), "windows", "bytes", "lo")
+        again = texts.filter("again").select("cid", F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).alias("to"))
+        join = lambda a, b: b if a is None else a.union(b)
+        rows, contexts, whole = join(rows, scratch.write(sorted_, "rows")), join(contexts, found.select("cid", "tid", "lo")), join(whole, again)
     ready, size = None, _SPAN
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
@@ -323,8 +421,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ordered = ready.repartition(F.col("key")).sortWithinPartitions("key")
     found = arrow_map(ordered, _sort, "cid binary, from long, to long").union(whole)
     found = found.groupBy("cid").agg(F.collect_list(F.struct("from", "to")).alias("found"))
-    hits = contexts.select("cid", "tid", "lo").distinct().join(found, "cid").select("tid", F.explode(F.transform("found", lambda x: F.struct((F.col("lo") + x["from"]).alias("a"), (F.col("lo") + x["to"]).alias("z")))).alias("r"))
-    cutlist = scratch.write(hits.groupBy("tid").agg(F.collect_list("r").alias("runs"), F.count("*").alias("n")), "cuts")
+    hits = contexts.distinct().join(found, "cid").select("tid", F.explode(F.transform("found", lambda x: F.struct((F.col("lo") + x["from"]).alias("a"), (F.col("lo") + x["to"]).alias("z")))).alias("r"))
+    merged = arrow_map(hits.groupBy("tid").agg(F.collect_list("r").alias("runs")), _merge, "tid binary, runs array<struct<a:long,z:long>>, n long")
+    cutlist = scratch.write(merged, "cuts")
     n_cuts = cutlist.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     facts = scratch.write(copies.join(cutlist.select("tid", "runs"), "tid", "full").select("tid", "copied", "runs"), "facts")
     out = _to_texts(source, facts, 64 * (copies.count() + n_cuts[0]) + 16 * n_cuts[1]).select("id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "runs")
