@@ -11,10 +11,13 @@ A pair at the similarity limit is missed with probability (1 - s^rows)^bands,
 1.2e-7 at 0.8. Equal sets collapse to a class first. In a bucket, members are
 tested against a hub, the member seen in the most company; components join what
 was confirmed; then only members of a bucket that are still in different
-components are tested, hub after hub, and what little stays open pair by pair
-until every cross pair of every bucket was either confirmed, refuted, or made
-needless by a path. So a large group of copies costs its size, not its square, and
-no link between components is lost. Confirmation compares full sets.
+components are tested, hub after hub. What stays open is settled in blocks: the members outside
+a bucket's largest component are a query set, held against that component and each other, so
+every cross pair of every bucket is confirmed, refuted, or made
+needless by a path. Before that last step, members of buckets that stay open get a deeper signature (250 bands of 12
+coordinates, which misses a pair at the limit with probability 2e-8): documents that share
+no more than a passage, and so a shallow bucket, hardly meet there. So a large group of copies or a common
+passage costs its size, not its square, and no link between components is lost. Confirmation compares full sets.
 """
 
 from __future__ import annotations
@@ -33,34 +36,36 @@ from weir.llm._scratch import Scratch, arrow_map
 from weir.llm.components import components
 
 BANDS, ROWS = 40, 5
+DEEP_BANDS, DEEP_ROWS = 250, 12
 _SLOTS = 1 << 20
 #: Members that share one copy of their hub's text in verification.
 _LOT = 64
 
 
 @cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1889)
     first = rng.permutation(_SLOTS).astype(np.int32)
     second = rng.permutation(_SLOTS).astype(np.uint32)
-    k = BANDS * ROWS
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: k - 1]]), k)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """K circulant MinHash coordinates of a non-empty set of 64-bit hashes."""
-    first, shifted = _permutations()
+def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+    """``k`` circulant MinHash coordinates of a non-empty set of 64-bit hashes."""
+    first, shifted = _permutations(k)
     at = first[(shingles >> np.uint64(44)).astype(np.int64)]
-    low = shifted[at[:2048]].min(axis=0)
-    for k in range(2048, len(at), 2048):
-        np.minimum(low, shifted[at[k : k + 2048]].min(axis=0), out=low)
+    step = max(1, 400_000 // k)
+    low = shifted[at[:step]].min(axis=0)
+    for i in range(step, len(at), step):
+        np.minimum(low, shifted[at[i : i + step]].min(axis=0), out=low)
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
+def band_keys(low: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
-    key = np.arange(BANDS, dtype=np.uint64)
-    for part in low.reshape(BANDS, ROWS).T.astype(np.uint64):
+    rows = len(low) // bands
+    key = np.arange(bands, dtype=np.uint64) + np.uint64(bands << 32)
+    for part in low.reshape(bands, rows).T.astype(np.uint64):
         key = _text.mix(key * np.uint64(5) + part)
     return key.view(np.int64)
 
@@ -85,6 +90,33 @@ def _sets(width: int):
     return run
 
 
+def _deep(width: int):
+    """(id, text) to (cid, n, key), a row for each deep band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off, _ = _text.column(b, "text")
+            ids = np.asarray(b.column(0))
+            for i, j in _text.blocks(off):
+                h, _, first = _text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                for k in range(i, j):
+                    s = _text.shingle_set(h[first[k - i] : first[k - i + 1]], width)
+                    if len(s):
+                        keys = band_keys(signature(s, DEEP_BANDS * DEEP_ROWS), DEEP_BANDS)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), ids[k])), pa.array(np.full(len(keys), len(s))), pa.array(keys)], ["cid", "n", "key"])
+
+    return run
+
+
+def _buckets(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, cid, n, deg) of buckets (key, cid, n) with two members or more; deg: in how much company a member is seen."""
+    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("x"), F.max("cid").alias("y")).filter("m > 1 and x <> y").select("key", "m")
+    members = scratch.write(keys.join(shared, "key").select("key", "cid", "n", "m"), "members")
+    out = scratch.write(members.join(members.groupBy("cid").agg(F.sum("m").alias("deg")), "cid").select("key", "cid", "n", "deg"), "buckets")
+    scratch.drop(members)
+    return out
+
+
 def _confirm(width: int, percent: int):
     """Rows (hub, lot, kind, id, text) in order: a hub's text (kind 0), then its members' (kind 1)."""
 
@@ -121,6 +153,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return arrow_map(rows, _confirm(width, percent), "a long, b long")
 
 
+def _block_rows(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Open members (key, cid, comp) as blocks (dom, chunk, part, kind, id, comp, text): queries (kind 0) and what they are held against (kind 1).
+
+    ``dom`` is the largest component of a bucket; members outside it are its queries, and meet its own members and each other.
+    """
+    one = members.select("comp", "cid").distinct()
+    sizes = one.groupBy("comp").agg(F.count("*").alias("m"))
+    heavy = members.select("key", "comp").distinct().join(sizes, "comp").groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("dom"))
+    queries = members.join(heavy, "key").filter("comp <> dom").select("dom", "cid", "comp").distinct()
+    doms = queries.groupBy("dom").agg(F.count("*").alias("q")).join(sizes.withColumnRenamed("comp", "dom"), "dom")
+    doms = doms.select("dom", F.ceil(F.col("q") / _LOT).cast("int").alias("parts"), F.ceil((F.col("q") + F.col("m")) / _LOT).cast("int").alias("chunks"))
+    rows = one.select(F.col("comp").alias("dom"), "cid", "comp").union(queries)
+    lot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = queries.join(doms, "dom").select("dom", "cid", "comp", lot("parts").alias("part"), every("chunks").alias("chunk"), F.lit(0).alias("kind"))
+    held = rows.join(doms, "dom").select("dom", "cid", "comp", every("parts").alias("part"), lot("chunks").alias("chunk"), F.lit(1).alias("kind"))
+    both = asked.unionByName(held).withColumnRenamed("cid", "id").join(texts, "id")
+    return both.select("dom", "chunk", "part", "kind", "id", "comp", "text").repartition("dom", "chunk", "part").sortWithinPartitions("dom", "chunk", "part", "kind")
+
+
+def _confirm_blocks(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, comps, sets, ready = None, [], [], [], None
+        for b in batches:
+            data, off, _ = _text.column(b, "text")
+            dom, chunk, part, kind, id_, comp = (np.asarray(b.column(k)) for k in range(6))
+            for i, j in _text.blocks(off):
+                h, _, first = _text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                a, c = [], []
+                for k in range(i, j):
+                    s = _text.shingle_set(h[first[k - i] : first[k - i + 1]], width)
+                    if at != (dom[k], chunk[k], part[k]):
+                        at, ids, comps, sets, ready = (dom[k], chunk[k], part[k]), [], [], [], None
+                    if kind[k] == 0:
+                        ids.append(id_[k])
+                        comps.append(comp[k])
+                        sets.append(s)
+                        continue
+                    if not sets:
+                        continue
+                    if ready is None:  # all queries' shingles in one order
+                        flat = np.concatenate(sets)
+                        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                        order = np.argsort(flat, kind="stable")
+                        ready = flat[order], owner[order], np.array([len(x) for x in sets]), np.array(ids), np.array(comps)
+                    flat, owner, size, qid, qcomp = ready
+                    place = np.minimum(np.searchsorted(s, flat), max(len(s) - 1, 0))
+                    both = np.bincount(owner[s[place] == flat], minlength=len(size)) if len(s) else np.zeros(len(size))
+                    hit = np.flatnonzero((100 * both >= percent * (size + len(s) - both)) & (both > 0) & (qcomp != comp[k]))
+                    a += qid[hit].tolist()
+                    c += [id_[k]] * len(hit)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -137,36 +226,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = sets.filter("id is not null and digest is not null")
     firsts = known.groupBy("digest").agg(F.min("id").alias("cid"))
     classes = scratch.write(firsts, "classes")
-    reps = known.select("digest", F.col("id").alias("cid"), "bands").join(classes, ["digest", "cid"], "left_semi").dropDuplicates(["cid", "digest"])
-    keys = reps.select("cid", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("x"), F.max("cid").alias("y")).filter("m > 1 and x <> y").select("key", "m")
-    members = scratch.write(keys.join(shared, "key").select("key", "cid", "m"), "members")
-    weight = members.groupBy("cid").agg(F.sum("m").alias("deg"))
-    texts = source.join(weight.select(F.col("cid").alias("id")), "id", "left_semi")
+    reps = known.select("digest", F.col("id").alias("cid"), "n", "bands").join(classes, ["digest", "cid"], "left_semi").dropDuplicates(["cid", "digest"])
+    buckets = _buckets(reps.select("cid", "n", F.explode("bands").alias("key")), scratch)
     # one text for each class: a representative's id names its set
+    texts = source.join(buckets.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
     texts = scratch.write(texts.dropDuplicates(["id"]), "texts")
-    ranked = scratch.write(members.join(weight, "cid").select("key", "cid", "deg"), "ranked")
-    scratch.drop(members)
 
     links, tested, label = None, None, None
-    for hop in range(4):
+
+    def still_open() -> DataFrame:
+        """Members, with their components, of buckets that hold several components."""
         if label is None:
-            open_ = ranked.withColumn("comp", F.col("cid"))
-        else:
-            placed = ranked.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-            open_ = scratch.write(placed.join(mixed, "key"), "open")
-            if open_.isEmpty():
-                break
-        if hop < 3:
-            # another hub each time: the busiest, then by two hashes
-            order = F.struct("deg", -F.col("cid")) if hop == 0 else F.struct(F.xxhash64("cid", F.lit(hop)), F.col("cid"))
-            hubs = open_.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), order).alias("hub"))
-            pairs = open_.join(hubs, "key").filter("comp <> hub.comp").select(F.col("hub.cid").alias("hub"), F.col("cid").alias("id"))
-        else:
-            # what is still open, whole
-            other = open_.select("key", F.col("cid").alias("hub"), F.col("comp").alias("c2"))
-            pairs = open_.join(other, "key").filter("comp < c2").select("hub", F.col("cid").alias("id"))
+            return buckets.withColumn("comp", F.col("cid"))
+        placed = buckets.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        return scratch.write(placed.join(mixed, "key"), "open")
+
+    for hop in (0, 1, "deeper", 2, 3, "blocks"):
+        members = still_open()
+        if label is not None and members.isEmpty():
+            break
+        if hop == "deeper":
+            again = texts.join(members.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
+            buckets = _buckets(arrow_map(again, _deep(width), "cid long, n long, key long"), scratch)
+            continue
+        if hop == "blocks":
+            found = arrow_map(_block_rows(members, texts), _confirm_blocks(width, percent), "a long, b long")
+            links = links.union(scratch.write(found, "links"))
+            label = components(links, scratch)
+            break
+        # another hub each time: the busiest, then by hash
+        order = F.struct("deg", -F.col("cid")) if hop == 0 else F.struct(F.xxhash64("cid", F.lit(hop)), F.col("cid"))
+        hubs = members.groupBy("key").agg(F.max_by(F.struct("cid", "comp", "n"), order).alias("h"))
+        pairs = members.join(hubs, "key").filter(f"comp <> h.comp and 100 * least(n, h.n) >= {percent} * greatest(n, h.n)").select(F.col("h.cid").alias("hub"), F.col("cid").alias("id"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "id"], "left_anti").join(tested.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["hub", "id"], "left_anti")
