@@ -105,6 +105,28 @@ def test_surrogates(spark, literal, monkeypatch):
     assert out[3]["text"] == PRIVATE[2][1] and out[3]["n_entities"] == 0
 
 
+LEAKS = [
+    ('password: "' + "Ab9" * 100 + 'tail-of-it"', "tail-of-it"), ("password='correct horse battery'", "battery"), ("key " + "0123456789abcdef" * 9 + ".", "0123456789abcdef"),
+    ("use sk-" + "aB3" * 50 + "_end now", "aB3aB3"), ("mail " + "long.local" * 7 + "@example.com", "long.local"), ("mail a@" + "b1." * 10 + "example.com.", "b1"),
+    ("Emma Johnson came", "Johnson"), ("John McDonald came", "McDonald"), ("Mr McDonald came", "Donald"), ("James O'Brien came", "Brien"), ("Mary Smith-Jones came", "Jones"),
+    ("John F. Kennedy came", "Kennedy"), ("John Michael Walker came", "Walker"), ("Jean-Pierre Dupont came", "Pierre Dupont"), ("Prof. Dr. von Weizsäcker came", "Weizsäcker"), ("Ms O'Hara came", "Hara"),
+    ("call +44 20 7946 0958 now", "7946"), ("call (+49 (0)30 1234567) now", "1234567"), ("call +33 1 23 45 67 89.", "45 67 89"),
+]
+
+
+def test_surrogates_leave_no_rest(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LEAKS)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace_entities(df, "k").collect()}
+    assert [(t, out[k]["text"]) for k, (t, rest) in enumerate(LEAKS) if rest in out[k]["text"] or out[k]["n_entities"] != 1] == []
+    # what stands around an entity stays, and its shape with it
+    assert re.fullmatch(r"Mr [A-Z][a-z][A-Z][a-z]{5} came", out[8]["text"]) and re.fullmatch(r"call \+\d\d \d\d \d{4} \d{4} now", out[16]["text"])
+
+
+def test_long_texts_are_searched_in_linear_time(spark):
+    rows = [("a" * 1_000_000,), ("f" * 1_000_000,), ("a." * 400_000 + "@",), ("x@" + "a." * 400_000,), ("sk-" + "a-" * 400_000,), ("password='" + "b" * 1_000_000,), ("A" + "'A" * 300_000,), ("+1" + " 1" * 300_000,)]
+    assert pii.entities(spark.createDataFrame(rows, "text string")).count() > 0
+
+
 def test_collisions_are_redrawn(spark, monkeypatch):
     from weir.llm._scratch import Scratch
 

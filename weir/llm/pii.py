@@ -11,6 +11,8 @@ drawn again until none is left.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,21 +25,48 @@ _MALE = "James Robert John Michael David William Richard Thomas Charles Daniel M
 _FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Ursula Monika Petra Sabine Marie Sophie Isabelle María Carmen Ana Lucía Elena".split()
 _MALE_CYRILLIC = "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел".split()
 _FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split()
+#: Names that are recognized too, of the same groups; replacements are drawn from the lists above.
+_MORE = {
+    "m": "Aaron Adam Adrian Ahmed Alan Albert Alejandro Alessandro Alex Alexander Alexandre Alfred Ali Andrea Andreas Andrés Antoine Arthur Axel Benjamin Bernd Bernhard Björn Bradley Brandon Bruce Bruno Bryan Carl Christian Christoph Christopher Claude Craig David Dennis Diego Dieter Dirk Donald Douglas Dylan Edgar Eduardo Emil Enrique Eric Erik Ernst Ethan Eugene Fabian Felix Fernando Florian Francesco Francis Francisco François Frank Franz Fred Frederick Friedrich Gabriel Gary Gerald Gerhard Giovanni Giuseppe Gregory Guillaume Günter Gustav Harold Harry Hassan Heinrich Heinz Helmut Henri Henry Herbert Hermann Holger Hugo Ian Ibrahim Isaac Ivan Jack Jacob Jacques Jakob Jan Jason Jeffrey Jens Jeremy Jerry Jesús Jesse Joachim Joe Johann Johannes Jonas Jonathan Jorge Joseph Juan Julian Julien Justin Keith Kenneth Konrad Kurt Kyle Lars Laurent Lawrence Leo Leon Liam Logan Louis Luca Lucas Ludwig Luke Lukas Manfred Manuel Marc Marco Marcel Mario Mark Markus Martin Mathieu Matthias Max Maximilian Michel Miguel Mohamed Mohammed Moritz Nathan Nicholas Nicolas Niklas Noah Norbert Oliver Olivier Oscar Otto Pablo Patrick Pedro Peter Philip Philipp Philippe Rafael Rainer Ralf Ralph Raymond René Ricardo Roger Roland Ronald Rolf Roy Rudolf Russell Ryan Samuel Scott Sean Sebastian Sebastián Sergio Simon Stefan Stephan Stephen Sven Theo Thierry Tim Timothy Tobias Tom Tyler Ulrich Uwe Vicente Victor Vincent Walter Wayne Werner Wolfgang Xavier Yusuf Zachary Álvaro Óscar",
+    "f": "Abigail Adriana Agnes Alexandra Alice Alicia Alina Amber Amélie Amy Andrea Angela Anita Anke Anna Anne Annette Antje Aurélie Ava Barbara Beatriz Beatrice Beate Bettina Betty Birgit Brenda Brigitte Camille Carla Carolina Caroline Carolyn Catherine Cécile Charlotte Chantal Cheryl Chloé Christina Christine Cindy Clara Claire Claudia Cornelia Cristina Cynthia Daniela Danielle Debra Deborah Denise Diana Diane Dolores Doris Dorothy Elisabeth Elisa Elke Ella Ellen Emma Erika Eva Evelyn Fatima Florence Françoise Franziska Frances Gabriele Gabriela Gertrud Gisela Gloria Grace Hannah Hanna Heather Heidi Heike Helen Helena Helga Hélène Ingrid Inés Ines Irene Isabel Isabella Jacqueline Jana Jane Janet Janice Jean Jessica Joan Johanna Joyce Juana Judith Judy Julia Julie Jutta Karin Katharina Katherine Kathleen Kathryn Katja Kelly Kerstin Kimberly Kristin Kirsten Laura Lauren Laure Lea Léa Lena Leonie Linda Louise Lucie Lucy Luisa Madison Manuela Margarita Maria Marion Marta Martha Martina Mathilde Megan Melanie Melissa Mercedes Mia Michèle Mónica Nadine Natalie Nathalie Nicole Nina Nora Olivia Paula Pamela Patrizia Paulina Pauline Pilar Rachel Raquel Rebecca Regina Renate Rita Rosa Rosario Ruth Sabrina Samantha Sara Sharon Silke Silvia Simone Sofía Sophia Sonja Stefanie Stella Stephanie Susana Susanne Sylvie Sylvia Tanja Teresa Theresa Tina Ute Valentina Valérie Vanessa Vera Verónica Véronique Victoria Zoe Élise Émilie",
+    "mc": "Алексей Анатолий Антон Артём Артем Борис Вадим Валентин Валерий Василий Виктор Виталий Владислав Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Игорь Илья Кирилл Константин Лев Леонид Максим Никита Олег Пётр Петр Роман Руслан Семён Станислав Степан Тимур Фёдор Федор Юрий Яков Ярослав",
+    "fc": "Алина Алла Анастасия Валентина Валерия Вера Вероника Виктория Галина Дарья Евгения Елизавета Жанна Зоя Инна Кристина Ксения Лариса Лидия Людмила Маргарита Марина Надежда Нина Оксана Полина Раиса Софья София Тамара Яна",
+}
+_MORE = {k: v.split() for k, v in _MORE.items()}
 _HE, _SHE = "Mr|Sir|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
+_TITLES = rf"(?:(?:{_HE}|{_SHE}|Dr|Prof|Professor)\.? )+"
+
+
+def _any_of(words: set[str]) -> str:
+    """A pattern of ``words`` that shares their beginnings, so that a word of a text is tried against few."""
+    if not words - {""}:
+        return ""
+    by = sorted({w[0] for w in words if w})
+    tails = [re.escape(c) + _any_of({w[1:] for w in words if w[:1] == c}) for c in by]
+    return "(?:" + "|".join(tails) + ")" + ("?" if "" in words else "")
+
+
+_GIVEN = _any_of({*_MALE, *_FEMALE, *_MALE_CYRILLIC, *_FEMALE_CYRILLIC, *sum(_MORE.values(), [])})
+#: A name's word: a capital and letters, with inner capitals, and apostrophes or hyphens before a capital (McDonald, O'Brien, Smith-Jones, Abd-el-Krim).
+_PART = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{Lu}))(?:['’-](?:\p{Ll}{1,3}-)?\p{Lu}[\p{L}\p{M}]*+)*+"
+_FAMILY = rf"(?:(?:van|von|vom|der|den|de|da|di|du|del|della|la|le|dos|das|zu|zur|ten|ter|bin|ibn|al|el) ){{0,3}}(?:[dl]['’])?{_PART}"
+_FIRST = rf"{_GIVEN}(?:-{_PART})?"
+#: Further given names and initials between a name's first word and its family name.
+_MIDDLE = rf"(?:(?:{_FIRST}|\p{{Lu}}\.) ){{0,4}}"
 
 #: In order: what matches earlier is taken. Lookbehinds keep a search from starting inside a word.
-_TOKEN = r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z-]{12,128})(?![0-9A-Za-z_])"
-_QUOTED = r"(?<=(?:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,200}"
+# Of a token or a quoted secret all of it is taken, however long; possessive quantifiers keep that linear.
+_TOKEN = r"(?<![0-9A-Za-z_])(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z_])|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z_-]{12,}+)"
+_QUOTED = r"(?<=(?:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}[\"'])(?:[^\"'\r\n]{6,}+(?=[\"'])|[^\"'\s]{6,}+)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\dA-Za-z])\d{13,19}(?![\dA-Za-z])",
-    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d(+])\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d(?:[ ./()-]{0,3}\d){7,14}(?!\d)",
     "secret": f"{_TOKEN}|{_QUOTED}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:{_HE}|{_SHE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?"
-    rf"|(?<![\p{{L}}])(?:{'|'.join(_MALE + _FEMALE + _MALE_CYRILLIC + _FEMALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}}(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES}{_MIDDLE}{_FAMILY}(?: {_FAMILY})?|{_FIRST} {_MIDDLE}{_FAMILY})",
 }
 _WORD = r"A-Za-z0-9\u00C0-\u024F\u0370-\u052F"
 #: All types. An entity starts a word, and its first character leaves few types to try, which spares most of a text.
@@ -67,7 +96,7 @@ def kind_of(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """One spelling for all ways to write an entity."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(entity)).when(kind == "name", F.regexp_replace(entity, rf"^(?:{_HE}|{_SHE})\.? ", "")).otherwise(entity)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(entity)).when(kind == "name", F.regexp_replace(entity, f"^{_TITLES}", "")).otherwise(entity)
 
 
 def _nibble(h: Column, i: Column, n: int) -> Column:
@@ -126,12 +155,13 @@ def _surrogate(h: Column, kind: Column, canon: Column) -> Column:
     secret = F.when(canon.rlike("^[0-9a-f]+$"), _hex(h, canon, F.lit(False))).when(canon.rlike("^[0-9A-F]+$"), _hex(h, canon, F.lit(True))).otherwise(
         F.concat(F.regexp_extract(canon, r"^(AKIA|ghp_|sk-|xox[bp]-|)", 1), _letters(h, F.regexp_replace(canon, r"^(?:AKIA|ghp_|sk-|xox[bp]-)", ""))))
     iban = F.concat(F.substring(canon, 1, 2), F.substring(letters, F.lit(3), F.length(letters)))
-    given, family = F.regexp_extract(canon, r"^(\S+)", 1), F.regexp_extract(canon, r"^\S+( \S+)?", 1)
+    given, family = F.regexp_extract(canon, r"^(\S+)", 1), F.regexp_extract(canon, r"^\S+(.*)$", 1)
     pools = {"m": _MALE, "f": _FEMALE, "mc": _MALE_CYRILLIC, "fc": _FEMALE_CYRILLIC}
     named = None
-    for pool in pools.values():
+    for k, pool in pools.items():
         pick = F.element_at(F.array(*[F.lit(x) for x in pool]), 1 + _nibble(h, F.lit(30), len(pool)))
-        named = F.when(given.isin(pool), pick) if named is None else named.when(given.isin(pool), pick)
+        is_one = given.isin(pool + _MORE[k])
+        named = F.when(is_one, pick) if named is None else named.when(is_one, pick)
     name = F.concat(named.otherwise(_letters(h, given)), _letters(F.sha2(h, 512), family))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
@@ -144,7 +174,7 @@ def dress(kind: Column, entity: Column, new: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
     spaced = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c)), "")
-    title = F.regexp_extract(entity, rf"^((?:{_HE}|{_SHE})\.? )", 1)
+    title = F.regexp_extract(entity, f"^({_TITLES})", 1)
     return F.when(kind.isin("phone", "card", "ssn"), spaced).when(kind == "email", cased).when(kind == "name", F.concat(title, new)).otherwise(new)
 
 
