@@ -72,6 +72,17 @@ def test_toxicity(spark, tox, odd, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_learns_from_all_documents():
+    """A word that only comes in with later documents has a weight, and shows in a text of its own."""
+    texts = [f"aa bb {'zqidiot' if k < 340 else 'vexxor'} cc dd" if k < 400 else "aa bb cc dd ee ff" for k in range(800)]
+    model = toxicity.fit(texts, [int(k < 400) for k in range(800)])
+    assert (model.weight > 0).all()
+    for word in ("zqidiot", "vexxor"):
+        features, first = toxicity._table([f"aa bb cc {word} dd ee ff"])
+        p = model.tag(model.places(features), first)
+        assert p.argmax() == 3 and p[3] >= 0.5 and model.score(p, first)[0] >= toxicity.CUT
+
+
 def test_toxicity_without_labels(spark, tox, odd):
     docs, labels = tox
     model = toxicity.learn(docs, labels.limit(0))

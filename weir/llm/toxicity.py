@@ -21,12 +21,10 @@ from weir.llm._chains import marginals
 from weir.llm._scratch import arrow_map
 from weir.llm.langid import fold
 
-#: Labelled documents of each label that the model is fitted on, chosen by a hash of the id.
+#: Labelled documents of each label that the model, chain and curve, is fitted on, chosen by a hash of the id.
 SAMPLE = 2000
 #: Labelled documents of each label on which word features are counted again, with those of SAMPLE among them.
 RECOUNT = 12_000
-#: Of SAMPLE, documents of each label that the chain itself is trained on.
-CHAIN = 300
 #: Word features that a model may hold.
 LEXICON = 20_000
 _BEGIN = (4, 5, 6)
@@ -160,7 +158,7 @@ def _table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros((0, 1 + len(_BEGIN)), np.uint64), np.concatenate(first)
 
 
-def fit(texts: list[str | None], labels: list[int], again: DataFrame | None = None, chain: int = CHAIN, share: float | None = None) -> Model:
+def fit(texts: list[str | None], labels: list[int], again: DataFrame | None = None, share: float | None = None) -> Model:
     """A model from labelled documents; ``again`` (text, toxic) holds more on which features must stand; ``share`` of documents are toxic where it matters."""
     toxic = np.array(labels, float)
     features, first = _table(texts)
@@ -173,24 +171,22 @@ def fit(texts: list[str | None], labels: list[int], again: DataFrame | None = No
     none = len(model.keys)
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     y = ((places < none).any(axis=1) & (toxic[doc] > 0)).astype(float)
-    use = np.concatenate([np.flatnonzero(toxic == t)[:chain] for t in (1, 0)]).astype(np.int64)
-    rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in use]) if len(use) else np.zeros(0, np.int64)
-    own = np.concatenate([[0], np.cumsum(np.diff(first)[use])]).astype(np.int64)
-    x, t = places[rows], y[rows]
-    if len(rows) and t.any():
-        begins = np.zeros(len(rows) + 1, bool)
-        begins[own] = True
+    if y.any():
+        begins = np.zeros(len(y) + 1, bool)
+        begins[first] = True
         inner = np.flatnonzero(~begins[1:-1]) + 1
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (t[inner - 1].astype(int), t[inner].astype(int)), 1)
+        seen = np.bincount((2 * y[inner - 1] + y[inner]).astype(int), minlength=4).reshape(2, 2).astype(float)
         speed, square = np.zeros(none + 1), np.zeros(none + 1)
         log_step, m2 = np.log(model.step), np.zeros((2, 2))
         for k in range(1, _STEPS + 1):
             pairs = np.zeros((2, 2))
-            p = model.tag(x, own, pairs)
-            wrong = t - p
-            g = np.bincount(x.ravel(), weights=np.repeat(wrong, x.shape[1]), minlength=none + 1)
-            g[none] = wrong.sum()
+            g, rest = np.zeros(none + 1), 0.0
+            for a, b in _text.blocks(first, 1 << 18):
+                x = places[first[a] : first[b]]
+                wrong = y[first[a] : first[b]] - model.tag(x, first[a : b + 1] - first[a], pairs)
+                g += np.bincount(x.ravel(), weights=np.repeat(wrong, x.shape[1]), minlength=none + 1)
+                rest += wrong.sum()
+            g[none] = rest
             g[:none] -= 0.05 * model.weight
             speed, square = 0.8 * speed + 0.2 * g, 0.95 * square + 0.05 * g * g
             move = 0.5 * (speed / (1 - 0.8**k)) / (np.sqrt(square / (1 - 0.95**k)) + 1e-3)
