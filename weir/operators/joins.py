@@ -18,10 +18,11 @@ def last_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str
 def first_in_list(left: DataFrame, ids: str, row: str, right: DataFrame, right_id: str, order: list[str]) -> DataFrame:
     """Each left row with the first right row, by ``order``, whose id is in the left row's list. ``row`` is unique on the left.
 
-    Adds ``observed``, 1 where there is one.
+    Adds ``observed``, 1 where there is one. The right side shrinks to a row per id before the join, so a frequent id makes no pairs.
     """
     rest = [c for c in right.columns if c != right_id]
-    wide = left.select(row, F.explode(F.array_distinct(ids)).alias(right_id)).join(right, right_id)
+    first = first_by(right, [right_id], order)
+    wide = left.select(row, F.explode(F.array_distinct(ids)).alias(right_id)).join(first, right_id)
     best = first_by(wide.select(row, right_id, *rest), [row], order)
     return left.join(best.withColumn("observed", F.lit(1)), row, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
 

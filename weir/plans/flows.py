@@ -100,6 +100,19 @@ def jn02(spark, d):
     return joins.first_in_list(left, "ids", "p_partkey", right, "word", ["other", "word"]).select("p_partkey", "other", "p_size", "observed")
 
 
+@query("jn02_first_in_whole_list", """
+WITH w AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) || '/' || (p_size + 1) AS id FROM part), r AS (SELECT unnest(string_split(p_name, ' ')) || '/' || p_size AS id, p_partkey AS other, p_size AS other_size FROM part),
+f AS (SELECT id, min(other) AS other, arg_min(other_size, other) AS other_size FROM r GROUP BY id), m AS (SELECT p_partkey, min(other) AS other, arg_min(other_size, other) AS other_size FROM w JOIN f USING (id) GROUP BY p_partkey)
+SELECT p.p_partkey, m.other, m.other_size, CASE WHEN m.other IS NULL THEN 0 ELSE 1 END::INTEGER AS observed FROM part p LEFT JOIN m ON p.p_partkey = m.p_partkey""")
+def jn02_whole(spark, d):
+    """Each part with the first of all parts that has one of its words and is a size larger; the largest sizes' list entries are in no row."""
+    p = table(spark, d, "part")
+    ids = lambda size: F.transform(F.split("p_name", " "), lambda w: F.concat(w, F.lit("/"), size.cast("string")))
+    right = p.select(F.explode(ids(F.col("p_size"))).alias("id"), F.col("p_partkey").alias("other"), F.col("p_size").alias("other_size"))
+    left = p.select("p_partkey", ids(F.col("p_size") + 1).alias("ids"))
+    return joins.first_in_list(left, "ids", "p_partkey", right, "id", ["other", "id"]).select("p_partkey", "other", "other_size", "observed")
+
+
 @query("jn03_best_in_tolerance", """
 WITH l AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) / 8.64e10 AS s, epoch_us(o_orderdate) / 8.64e10 + 30 AS e, o_orderkey % 7 AS n FROM orders),
 r AS (SELECT o_custkey, l_orderkey AS r_id, min(epoch_us(l_shipdate)) / 8.64e10 AS rs, max(epoch_us(l_shipdate)) / 8.64e10 AS re, count(*) AS rn FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
