@@ -37,7 +37,7 @@ def sc09(spark, d):
 
 @query("sc15_sc16_manifest")
 def sc15(spark, d):
-    return tables.file_manifest(spark, f"{d}/region.parquet", ["testdata"], {"testdata": "synthetic"})
+    return tables.file_manifest(spark, d, ["testdata"], {"testdata": "synthetic"})
 
 
 @query("sc17_sc18_file_types", f"""

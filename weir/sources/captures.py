@@ -1,16 +1,22 @@
 """Packet captures: TCP headers of Ethernet frames, by an Arrow-batched decoder.
 
-Spark has no reader for captures. A file is one binary cell; its frames are walked in order and leave the worker in batches.
+Spark has no reader for captures. A file is one binary cell, or mapped by the task where it is long and in a file system
+that tasks see as well; its frames are walked in order and leave the worker in batches.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import mmap
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weir.sources.tables import CELL
 
 _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
 SCHEMA = "path string, ordinal long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, proto string, pkt_len int, flags int"
@@ -21,7 +27,7 @@ def address(raw: bytes) -> str:
     return str(ipaddress.ip_address(raw)) if len(raw) in (4, 16) else ""
 
 
-def frames(data: bytes) -> Iterator[tuple[float, bytes]]:
+def frames(data: bytes | mmap.mmap) -> Iterator[tuple[float, bytes]]:
     """(seconds, frame) of a capture in either format; a cut file ends early."""
     if data[:4] in _MAGIC:
         order, unit = _MAGIC[data[:4]]
@@ -69,8 +75,21 @@ def tcp(frame: bytes) -> tuple[str, str, int, int, int] | None:
 
 
 def read_captures(spark: SparkSession, root: str, pattern: str = "*.pcap*") -> DataFrame:
-    """One row per TCP packet of the captures below ``root``; ``pkt_len`` is the whole frame. Other and broken frames are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+    """One row per TCP packet of the captures below ``root``; ``pkt_len`` is the whole frame. Other and broken frames are left out.
+
+    Captures of over ``CELL`` bytes under ``file:`` are mapped by path, at any length; in other stores a capture is one cell, of 2 GB at most.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    long = [r["path"] for r in files.filter(F.col("length") > CELL).select("path").collect()]
+    mapped = [p for p in long if p.startswith("file:")]
+    # a filter of the length alone keeps contents unread
+    parts = [files.filter(F.col("length") <= CELL).select("path", "content")]
+    if len(mapped) < len(long):
+        parts.append(files.filter(F.col("length") > CELL).filter(~F.col("path").startswith("file:")).select("path", "content"))
+    if mapped:
+        # a task per capture
+        parts.append(spark.createDataFrame([(p, None) for p in mapped], "path string, content binary").repartition(len(mapped)))
+    files = reduce(DataFrame.unionByName, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "ordinal", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "pkt_len", "flags"]
@@ -82,7 +101,11 @@ def read_captures(spark: SparkSession, root: str, pattern: str = "*.pcap*") -> D
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for k, (ts, frame) in enumerate(frames(content.as_py())):
+                data = content.as_py()
+                if data is None:
+                    with open(path.removeprefix("file:"), "rb") as f:
+                        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                for k, (ts, frame) in enumerate(frames(data)):
                     if found := tcp(frame):
                         rows.append((path, k, ts, *found[:4], "tcp", len(frame), found[4]))
                     if len(rows) == 10_000:

@@ -5,6 +5,7 @@ All go through Spark's readers, so any store that Spark knows will do; files are
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,10 @@ from weir.operators.shaping import type_name
 #: Columns of a label file without a header. Fixed values.
 LABEL_COLUMNS = ["id", "timestamp", "mining_device_config", "is_complete", "encrypted", "hash_rate_1", "hash_rate_2", "hash_rate_3", "submission_number", "coin_type", "mining_software", "algo", "whether_cryptojacking", "length"]
 
+#: Bytes of a file that a task may hold as one cell; longer files are read as streams, by blocks of BLOCK.
+CELL = 64 << 20
+BLOCK = 1 << 20
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet or CSV (also gzipped) table by its suffix; CSV columns are text."""
@@ -70,12 +75,29 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*", contains: lis
 
 
 def file_manifest(spark: SparkSession, root: str, known: list[str], licenses: dict[str, str]) -> DataFrame:
-    """(path, size_bytes, sha256, file_type, source, license) of files below ``root``. A file is read whole by one task; those over 2 GB are not for this reader."""
+    """(path, size_bytes, sha256, file_type, source, license) of files below ``root``. Files of up to ``CELL`` bytes are read by tasks; of longer ones the driver's JVM reads a stream, some at a time."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(~F.col("path").endswith(".aria2"))
+    long = [tuple(r) for r in df.filter(F.col("length") > CELL).select("path", "length").collect()]
+    rows = df.filter(F.col("length") <= CELL).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    if long:
+        with ThreadPoolExecutor(4) as pool:
+            sums = list(pool.map(lambda r: _checksum(spark, r[0]), long))
+        rows = rows.unionByName(spark.createDataFrame([(*r, x) for r, x in zip(long, sums)], "path string, length long, sha256 string"))
     source = source_for(F.col("path"), known)
     pairs = [F.lit(x) for kv in licenses.items() for x in kv]
     license_ = F.coalesce(F.element_at(F.create_map(*pairs), source), F.lit("unknown")) if pairs else F.lit("unknown")
-    return df.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), file_type(F.col("path")).alias("file_type"), source.alias("source"), license_.alias("license")).orderBy("path")
+    return rows.select("path", F.col("length").alias("size_bytes"), "sha256", file_type(F.col("path")).alias("file_type"), source.alias("source"), license_.alias("license")).orderBy("path")
+
+
+def _checksum(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file in any store that Spark knows, by a stream."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at, BLOCK)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def complete_captures(files: DataFrame, partial: DataFrame) -> DataFrame:
