@@ -7,6 +7,10 @@ figures match in kind and not in digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +22,7 @@ from weir.operators.shaping import numeric
 from weir.operators.splits import stratified_split
 
 #: Trees, learning rate, depth and least rows in a leaf.
-SETTINGS = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 50, "maxBins": 64, "seed": 42}
+SETTINGS = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 50, "maxBins": 64, "seed": 42}
 
 
 def fit(df: DataFrame, features: list[str], label: str, **settings):
@@ -53,24 +57,25 @@ def evaluate(model, df: DataFrame, features: list[str], label: str) -> DataFrame
 
 def leave_one_out(df: DataFrame, source: str, features: dict[str, list[str]], label: str, **settings) -> DataFrame:
     """Metrics for each held-out source and named feature set; folds whose training rows lack a class, and empty sets, are left out."""
-    out = None
+    runs = []
     for held in sorted(r[0] for r in df.select(source).distinct().collect()):  # sources are few
         train, test = df.filter(F.col(source) != held), df.filter(F.col(source) == held)
         if train.select(label).distinct().count() < 2:
             continue
         for name, columns in features.items():
             if columns:
-                part = evaluate(fit(train, columns, label, **settings), test, columns, label).select(F.lit(held).alias("heldout_source"), F.lit(name).alias("feature_group"), "*")
-                out = part if out is None else out.unionByName(part)
-    if out is None:
+                runs.append(lambda held=held, train=train, test=test, name=name, columns=columns: evaluate(fit(train, columns, label, **settings), test, columns, label).select(F.lit(held).alias("heldout_source"), F.lit(name).alias("feature_group"), "*"))
+    if not runs:
         raise ValueError("no fold has both classes")
-    return out
+    return _together(runs)
+
+
+def _together(runs: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The union of what all ``runs`` give; some run at a time, as a fit's many short jobs leave cores idle."""
+    with ThreadPoolExecutor(6) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(lambda run: run(), runs)))
 
 
 def ablation(df: DataFrame, train: Column, configurations: dict[str, list[str]], label: str, **settings) -> DataFrame:
     """Metrics on the other rows for each named feature list."""
-    out = None
-    for name, columns in configurations.items():
-        part = evaluate(fit(df.filter(train), columns, label, **settings), df.filter(~train), columns, label).select(F.lit(name).alias("configuration"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _together([lambda name=name, columns=columns: evaluate(fit(df.filter(train), columns, label, **settings), df.filter(~train), columns, label).select(F.lit(name).alias("configuration"), "*") for name, columns in configurations.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.operators import models, quality, shaping
+from weir.operators import models, quality, shaping, splits
 from weir.plans.registry import query, table
 from weir.sources import sinks, tables
 from weir.streaming.bursts import session_bursts
@@ -99,20 +99,31 @@ def dq07(spark, d):
     return spark.createDataFrame([(m,) for m in found], "message string")
 
 
+#: Four feature sets.
+_SETS = {"chars": ["n_chars"], "lines": ["n_chars", "n_lines"], "words": ["n_chars", "n_words"], "all": ["n_chars", "n_words", "n_lines", "has_lines"]}
+
+
 @query("ml03_leave_one_source_out")
 def ml03(spark, d):
-    """Held-out metrics for three sources and two feature sets."""
-    rows = _rows(spark, d)
-    return models.leave_one_out(rows, "lang", {"chars": ["n_chars"], "all": ["n_chars", "n_lines"], "none": []}, "label", maxIter=5)
+    """Held-out metrics for each source and four feature sets."""
+    return models.leave_one_out(_rows(spark, d), "lang", _SETS | {"none": []}, "label")
 
 
 @query("ml02_ml04_ml05_ablations")
 def ml04(spark, d):
-    return models.ablation(_rows(spark, d), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, {"with": ["n_chars", "n_lines"], "without": ["n_chars"]}, "label", maxIter=5)
+    """Four feature sets on a stratified fifth (ML02), each with and without lines (ML04; "with" is ML02's own run), and three exposures of padded columns on a held-out source (ML05)."""
+    rows = _rows(spark, d)
+    without = {f"{k}_without": [c for c in v if c not in ("n_lines", "has_lines")] for k, v in _SETS.items()}
+    split = splits.stratified_split(rows, "doc_id", "label")
+    inside = models.ablation(split, F.col("split") == "train", _SETS | without, "label")
+    padded = {"no_lines": ["n_chars", "n_words"], "plus_has_lines": ["n_chars", "n_words", "has_lines"], "lines_full": ["n_chars", "n_words", "has_lines", "n_lines"]}
+    held = models.ablation(rows, F.col("lang") != "en", padded, "label")
+    return inside.withColumn("heldout_source", F.lit("none")).unionByName(held.withColumn("heldout_source", F.lit("en")))
 
 
 def _rows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.size(F.split("text", "\n")).alias("n_lines"))
+    lines = F.size(F.split("text", "\n"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", lines.alias("n_lines"), F.size(F.split("text", " ")).alias("n_words"), (lines > 1).cast("int").alias("has_lines"))
     return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
