@@ -21,32 +21,39 @@ from weir.llm.pii import replace_entities
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids`` (doc_id), each id's repeated rows once."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the id where it names one row; else, for null and repeated ids, a hash of id and text beyond usual ids, so that only rows that repeat both share it."""
+    odd = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    ids = Scratch(spark, "repeated").write(ids, "ids")
+    if ids.isEmpty():
+        return docs.withColumn("_key", F.coalesce("doc_id", odd))
+    return docs.join(ids, "doc_id", "left").withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_n").isNotNull(), odd).otherwise(F.col("doc_id"))).drop("_n")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language (null, without letters) and sets ``lang`` to the predicted one."""
+    """Drops rows in no known language (null, without letters) and sets ``lang`` to the predicted one, row by row."""
     model = learn(docs.filter(fold() != 1))
-    found = identify(docs, model).filter(F.col("lang") != UNKNOWN).select(F.col("id").alias("doc_id"), F.col("lang").alias("_lang"))
-    found = found.groupBy("doc_id").agg(F.min("_lang").alias("_lang"))
-    return docs.join(found, "doc_id").withColumn("lang", F.col("_lang")).select(docs.columns)
+    # a row's columns go along as its id, so null and repeated ids are no matter
+    found = identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, id_col="_row").filter(F.col("lang") != UNKNOWN)
+    return found.select(*[F.col("lang") if c == "lang" else F.col(f"id.{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near duplicates, over five-word shingles at 0.8; rows that repeat an id stay once."""
-    kept = near_groups(docs, width=5, percent=80).filter("kept").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    """Keeps the least id of each group of near duplicates, over five-word shingles at 0.8. Rows that repeat id and text stay once; other texts of an id, and rows without one, are documents of their own."""
+    keyed = _keyed(spark, docs)
+    kept = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80).filter("kept").groupBy(F.col("id").alias("_key")).agg(F.count("*").alias("n"))
     kept = Scratch(spark, "kept").write(kept, "kept")
-    once = _keep(docs, kept.filter("n = 1").select("doc_id"))
-    more = _keep(docs, kept.filter("n > 1").select("doc_id")).dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    once = keyed.join(kept.filter("n = 1"), "_key", "left_semi")
+    more = keyed.join(kept.filter("n > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(more).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Drops contaminated rows."""
+    keyed = _keyed(spark, docs)
+    bad = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

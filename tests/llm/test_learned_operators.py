@@ -185,3 +185,20 @@ def test_pipeline_odd(spark):
         for _, stage in p.STAGES:
             state = spark.createDataFrame(stage(spark, state, SF).toArrow())
         assert "ids_sha256" in state.columns
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    some = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and n_chars > 200")
+    docs = some.limit(300)
+    copied = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    word = lambda seed: " ".join(random.Random(f"{seed}{k}").choice(["the", "house", "river", "and", "stone", "green", "with", "over", "mountain", "was"]) for k in range(60))
+    rows = [(None, word(1)), (None, word(2)), (None, word(2)), (None, copied), (10**7, word(3)), (10**7, word(4)), (10**7, word(4))]
+    state = docs.unionByName(spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], docs.schema))
+    got = []
+    for _, stage in p.STAGES[:3]:
+        state = spark.createDataFrame(stage(spark, state, SF).toArrow(), docs.schema)
+        got.append(sorted(r["text"] for r in state.filter("doc_id is null or doc_id = 10000000").collect()))
+    own = {word(k) for k in (1, 2, 3, 4)}
+    assert got[0] == sorted(t for _, t in rows) and got[1] == sorted({*own, copied}) and got[2] == sorted(own)
