@@ -20,7 +20,6 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,13 @@ from pyspark.sql import types as T
 from weir.llm import _text
 from weir.llm._scratch import Scratch, arrow_map
 
-#: Words in the lexicon.
+#: Most words in the lexicon.
 LEXICON = 1 << 15
 _BLOCK = 4 << 20
-_MEMO = 200_000
+#: Distinct words that a task counts before it sends them on.
+_HELD = 200_000
+#: Counts of words are told apart by sixteenths of an octave where the lexicon is cut.
+_OCTAVE = 16
 #: Characters below this take the fast path when they are composed already.
 _PLAIN = 0x250
 
@@ -57,6 +59,7 @@ def _white() -> str:
 
 _L, _N = _classes()
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_white()}{_L}{_N}]+")
+_NONE, _PAIR = 1 << 40, 1 << 32
 _ODD = re.compile(f"[^\x00-{chr(_PLAIN - 1)}]")
 
 
@@ -76,8 +79,15 @@ class Vocabulary:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.first = min((s[:2] for s in self.special), default="")
         chars = _byte_characters()
-        self.inner = [self.ids[c] for c in chars]
-        self.last = [self.ids[c + self.suffix] for c in chars]
+        self.inner = np.array([self.ids[c] for c in chars], np.int64)
+        self.last = np.array([self.ids[c + self.suffix] for c in chars], np.int64)
+        # pairs in order, the rank of each, and what a rank makes
+        keys = np.array([a * _PAIR + b for a, b in self.rank] or [-1], np.int64)
+        ranks = np.array([k for k, _ in self.rank.values()] or [0], np.int64)
+        by = np.argsort(keys)
+        self.pairs, self.order = keys[by], ranks[by]
+        self.made = np.zeros(int(ranks.max()) + 1, np.int64)
+        self.made[ranks] = [new for _, new in self.rank.values()] or [0]
         self._parts = None
 
     def parts(self):
@@ -97,32 +107,59 @@ class Vocabulary:
         normal, split, back = self.parts()
         return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in split(normal(text))]
 
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word, by merges in order of rank."""
-        raw = word.encode("utf-8", "surrogateescape")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        return self._short(ids) if len(ids) < 64 else self._long(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        rank = self.rank
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:]):
-                found = rank.get(pair)
-                if found is not None and (best is None or found < best):
-                    best, at = found, pair
-            if best is None:
-                break
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and (ids[k], ids[k + 1]) == at:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, by merges in order of rank: (ids one after the other, where each word's begin and the end)."""
+        raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = size < 64
+        ids, ends = self._short([r for r in raw if len(r) < 64])
+        if short.all():
+            return ids, ends
+        parts, k = [], 0
+        for r in raw:
+            if len(r) < 64:
+                parts.append(ids[ends[k] : ends[k + 1]])
+                k += 1
+            else:
+                parts.append(np.array(self._long([self.inner[b] for b in r[:-1]] + [self.last[r[-1]]]), np.int64))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words at once: each round merges every word's best pair wherever it stands."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, word = self.inner[data], np.repeat(np.arange(len(raw)), size)
+        if len(ids):
+            at = np.cumsum(size)[size > 0] - 1
+            ids[at] = self.last[data[at]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            found = self._ranks(ids[:-1], ids[1:])
+            rank = np.append(np.where(word[:-1] == word[1:], found, _NONE), _NONE)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            length = np.diff(np.append(first, len(ids)))
+            best = np.repeat(np.minimum.reduceat(rank, first), length)
+            over = best == _NONE
+            done.append((word[over], ids[over]))
+            at = np.flatnonzero((rank == best) & ~over)
+            # of a run of one symbol every other pair is merged, from the left
+            run = np.append(False, np.diff(at) == 1)
+            if run.any():
+                start = np.flatnonzero(~run)
+                at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            left = ~over
+            left[at + 1] = False
+            ids, word = ids[left], word[left]
+        word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
+        ids = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
+        # a word's ids are all of one round, in order
+        return ids[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(raw)))])
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = a * _PAIR + b
+        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == want, self.order[at], _NONE)
 
     def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -244,6 +281,11 @@ class Lexicon:
         return self.ids[self.ends[number] : self.ends[number + 1]]
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start[k] .. start[k] + size[k] - 1`` of all k, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 @cache
 def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
@@ -269,7 +311,7 @@ def _strings(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> list[str]:
-    """The ``n`` words that occur most in ``docs`` (id, text), by exact counts; ties by the word."""
+    """At most ``n`` words that occur most in ``docs`` (id, text), by exact counts: all words of the levels of counts that fit whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen = _vocabulary(vocabulary), Counter()
@@ -278,13 +320,20 @@ def frequent_words(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> list[s
                 for t in texts:
                     for part in vocab.cut.split(t)[::2] if vocab.cut and vocab.first in t else (t,):
                         seen.update(vocab.pieces(part))
-                if len(seen) > _MEMO:
+                if len(seen) > _HELD:
                     yield _counted(seen)
                     seen = Counter()
         yield _counted(seen)
 
-    words = arrow_map(docs, count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(n).collect()]
+    words = arrow_map(docs, count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(_OCTAVE * F.log2("n")).cast("int"))
+    words = Scratch(docs.sparkSession, "words").write(words, "words")
+    cut, held = -1, 0
+    for r in words.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a thousand levels at most
+        if held + r["n"] > n:
+            cut = r["level"]
+            break
+        held += r["n"]
+    return [bytes(r["word"]) for r in words.filter(F.col("level") > cut).select("word").collect()]
 
 
 def _counted(seen) -> pa.RecordBatch:
@@ -305,15 +354,33 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     vocab = _vocabulary(vocabulary)
     words = frequent_words(source, vocabulary, lexicon)
-    flat = compile_lexicon({w: vocab.merge(w.decode("utf-8", "surrogateescape")) for w in words if w})
+    words = [w for w in words if w]
+    ids, ends = vocab.merge([w.decode("utf-8", "surrogateescape") for w in words])
+    flat = compile_lexicon({w: ids[a:z].tolist() for w, a, z in zip(words, ends.tolist(), ends[1:].tolist())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lex = _vocabulary(vocabulary), _mapped(flat)
-        token, memo = vocab.tokens, {}
+        token = vocab.tokens
         shown = [token[k] for k in range(max(token) + 1)] if len(token) == max(token) + 1 else token
 
-        def made(ids) -> tuple[bytes, str]:
-            return pack(f"<{len(ids)}I", *ids), " ".join([shown[x] for x in ids])
+        def table(words: list) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of distinct words, one after the other, and where each word's begin and the end; a special string is a tuple."""
+            plain = np.array([isinstance(w, str) for w in words], bool)
+            text = [w for w in words if isinstance(w, str)]
+            number = np.full(len(words), -1, np.int64)
+            number[plain] = lex.numbers([w.encode("utf-8", "surrogateescape") for w in text])
+            known, new = np.flatnonzero(number >= 0), np.flatnonzero(plain & (number < 0))
+            begin, made, made_ends = lex.ends[number[known]], *vocab.merge([words[k] for k in new.tolist()])
+            size = np.ones(len(words), np.int64)
+            size[known] = lex.ends[number[known] + 1] - begin
+            size[new] = np.diff(made_ends)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            ids = np.zeros(int(ends[-1]), np.int64)
+            ids[_spread(ends[known], size[known])] = lex.ids[_spread(begin, size[known])]
+            ids[_spread(ends[new], size[new])] = made
+            other = np.flatnonzero(~plain)
+            ids[ends[other]] = [vocab.special[words[k][0]] for k in other.tolist()]
+            return ids, ends
 
         for b in batches:
             for i, j, texts in _strings(b):
@@ -329,36 +396,24 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                         else:
                             codes += map(code, vocab.pieces(part))
                     sizes.append(len(codes) - k)
-                plain = [w for w in number if isinstance(w, str)]
-                found = dict(zip(plain, lex.numbers([w.encode("utf-8", "surrogateescape") for w in plain]).tolist()))
-                table = []
-                for w in number:
-                    if isinstance(w, tuple):
-                        table.append(made([vocab.special[w[0]]]))
-                        continue
-                    # the memo keeps what was merged or read out lately
-                    if (x := memo.get(w)) is None:
-                        x = memo[w] = made(lex.of(found[w]).tolist() if found[w] >= 0 else vocab.merge(w))
-                    table.append(x)
-                if len(memo) > _MEMO:
-                    memo.clear()
-                raw, strings = [x for x, _ in table], [x for _, x in table]
-                n_tokens, ids, shas, decoded, shas2, at = [], [], [], [], [], 0
-                for n in sizes:
-                    own = codes[at : at + n]
+                word_ids, word_ends = table(list(number))
+                pieces, at = [shown[x] for x in word_ids.tolist()], word_ends.tolist()
+                strings = [" ".join(pieces[a:z]) for a, z in zip(at, at[1:])]
+                own = np.array(codes, np.int64)
+                length = np.diff(word_ends)[own]
+                whole = word_ids[_spread(word_ends[own], length)].astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
+                n_tokens, shas, decoded, shas2, at = np.diff(ends), [], [], [], 0
+                for n, a, z in zip(sizes, ends.tolist(), ends[1:].tolist()):
+                    shas.append(hashlib.sha256(whole[a:z]).hexdigest())
+                    text = " ".join(map(strings.__getitem__, codes[at : at + n]))
                     at += n
-                    whole = b"".join(map(raw.__getitem__, own))
-                    text = " ".join(map(strings.__getitem__, own))
-                    n_tokens.append(len(whole) // 4)
-                    shas.append(hashlib.sha256(whole).hexdigest())
                     shas2.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_ids:
-                        ids.append(np.frombuffer(whole, "<u4"))
                         decoded.append(text)
                 columns = [b.column(0).slice(i, j - i), pa.array(n_tokens, pa.int64()), pa.array(shas, pa.string()), pa.array(shas2, pa.string())]
                 if keep_ids:
-                    ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())), pa.array(decoded, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole.astype(np.int32))), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
