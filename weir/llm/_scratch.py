@@ -15,13 +15,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weir.llm._memory import tidy
+
 _OPEN: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of our own where it is unset."""
+    """``spark.checkpoint.dir`` of the session; on a local master without one, a temporary folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weir-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -89,4 +93,4 @@ def ship(spark: SparkSession) -> None:
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(tidy(function), schema)

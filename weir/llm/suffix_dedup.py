@@ -34,11 +34,14 @@ LENGTH = 400
 _SPAN = 128
 _CORE = LENGTH - _SPAN + 1
 #: Different texts in a bucket that one task sorts.
-CAP = 8192
-_BATCH = 2 << 20
+CAP = 4096
+#: Bytes of texts that a task sorts at once, or a bucket; about 60 bytes of memory for each.
+_BATCH = 1 << 20
+#: Bytes whose windows are hashed at once; about 100 bytes of memory for each.
+_BLOCK = 1 << 18
 #: Estimated bytes up to which what is known of documents is broadcast to them; beyond it both are shuffled.
 BROADCAST = 32 << 20
-#: Bits of a filter that is sent to the texts; more buckets than fit take turns.
+#: Bits of a filter that is sent to the texts; more buckets or senders than fit take turns.
 FILTER_BITS = 1 << 29
 _V = 32
 _HEAD, _DEEP = 32, 352
@@ -96,10 +99,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         data, off, _ = _text.column(b, "text")
         tids = b.column(0)
         short = np.array([int.from_bytes(t[:8], "little") for t in tids.to_pylist()], np.uint64)
-        for i, j in _text.blocks(off):
-            if off[j] - off[i] > 2 * _text.BLOCK:  # one long text, by ranges of its windows
-                for s in range(int(off[i]), int(off[j]), _text.BLOCK):
-                    own = data[s : min(s + _text.BLOCK + LENGTH - 1, off[j])]
+        for i, j in _text.blocks(off, _BLOCK):
+            if off[j] - off[i] > 2 * _BLOCK:  # one long text, by ranges of its windows
+                for s in range(int(off[i]), int(off[j]), _BLOCK):
+                    own = data[s : min(s + _BLOCK + LENGTH - 1, off[j])]
                     row, anchor, lo, hi, h = _anchors(own, np.array([0, len(own)]))
                     s -= int(off[i])
                     yield data, off, tids, short, (row + i, anchor + s, lo + s, hi + s, h)
@@ -391,6 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     send = docs.sparkSession.sparkContext.broadcast
     turns = -(-32 * n_twice // FILTER_BITS) or 1
     rows, contexts, whole = None, None, None
+    join = lambda a, b: b if a is None else a.union(b)
     for turn in range(turns):
         mine = twice.filter(F.pmod("core", F.lit(turns)) == turn)
         wanted = send(_filter(mine, -(-n_twice // turns)))
@@ -400,12 +404,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = scratch.write(texts.select("core", "cid", "before", "windows", "x.tid", "x.lo", (F.col("x") != F.col("y")).alias("again")), "texts")
         mixed = texts.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
         need = scratch.write(texts.join(mixed, "core").select("core", "cid", "before", "windows", "tid", "lo"), "need")
-        senders = send(_filter(arrow_map(need.select("cid", "tid", "lo"), _senders, "k long"), need.count()))
-        sent = arrow_map(long_, _bytes(wanted, senders), "core long, cid binary, bytes binary").groupBy("core", "cid").agg(F.max("bytes").alias("bytes"))
-        sorted_ = need.join(sent, ["core", "cid"]).select(F.col("core").alias("key"), "cid", "before", F.lit(0).cast("long").alias("at"), "windows", "bytes", "lo")
+        n_need = need.count()
+        rounds = -(-32 * n_need // FILTER_BITS) or 1
+        for k in range(rounds):
+            own = need.filter(F.pmod(F.xxhash64("core"), F.lit(rounds)) == k)
+            senders = send(_filter(arrow_map(own.select("cid", "tid", "lo"), _senders, "k long"), -(-n_need // rounds)))
+            sent = arrow_map(long_, _bytes(wanted, senders), "core long, cid binary, bytes binary").groupBy("core", "cid").agg(F.max("bytes").alias("bytes"))
+            sorted_ = own.join(sent, ["core", "cid"]).select(F.col("core").alias("key"), "cid", "before", F.lit(0).cast("long").alias("at"), "windows", "bytes", "lo")
+            rows = join(rows, scratch.write(sorted_, "rows"))
+            senders.unpersist()
         again = texts.filter("again").select("cid", F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).alias("to"))
-        join = lambda a, b: b if a is None else a.union(b)
-        rows, contexts, whole = join(rows, scratch.write(sorted_, "rows")), join(contexts, found.select("cid", "tid", "lo")), join(whole, again)
+        contexts, whole = join(contexts, found.select("cid", "tid", "lo")), join(whole, again)
     ready, size = None, _SPAN
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
