@@ -118,11 +118,12 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x y green z blue"), (2, "blue green red"), (3, "red green")], "id long, text string")
     from weir.llm._scratch import Scratch
 
-    index = decontam.build_index(docs, Scratch(spark, "test"))
+    scratch = Scratch(spark, "test")
+    index = decontam.build_index(docs, scratch)
     items = spark.createDataFrame([("a", "red green blue")], "item string, text string")
-    found = {r["id"]: r["items"] for r in decontam.find(index, items, within=4).collect()}
+    found = {r["id"]: r["items"] for r in decontam.find(index, items, scratch, within=4).collect()}
     assert found == {1: [], 2: ["a"], 3: []}
-    assert {r["id"]: len(r["starts"]) for r in decontam.find(index, items, within=6).collect()} == {1: 1, 2: 1, 3: 0}
+    assert {r["id"]: len(r["starts"]) for r in decontam.find(index, items, scratch, within=6).collect()} == {1: 1, 2: 1, 3: 0}
 
 
 @pytest.mark.parametrize("lexicon", [0, 200])

@@ -28,7 +28,7 @@ TURN_BYTES = 8 << 20
 
 
 def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Write and return the index of ``docs`` (id, text): a row for each block of documents."""
+    """Write and return the index of ``docs`` (id, text): a row for each block of documents, with the number ``block`` that it keeps once written."""
     kind = docs.schema["id"].dataType
     schema = T.StructType([
         T.StructField("ids", T.ArrayType(kind)), T.StructField("first", T.BinaryType()), T.StructField("terms", T.BinaryType()),
@@ -47,7 +47,8 @@ def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 parts = [first.astype(np.int64), ranked[at], np.append(at, len(h)).astype(np.int32), order.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([ids, *(_text.binary([p.tobytes()]) for p in parts)], ["ids", "first", "terms", "ends", "positions"])
 
-    return scratch.write(arrow_map(docs.select("id", "text"), run, schema), "index")
+    blocks = arrow_map(docs.select("id", "text"), run, schema)
+    return scratch.write(blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "index")
 
 
 class Block:
@@ -117,7 +118,7 @@ class Block:
 
 
 def _turns(items: DataFrame, turn_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The benchmark's rows, some megabytes at a time; the driver never holds more."""
+    """The benchmark's rows, some megabytes at a time."""
     rows, size = [], 0
     for r in items.toLocalIterator():
         rows.append((r["item"], r["text"] or ""))
@@ -143,27 +144,34 @@ def _windows(rows: list[tuple[str | None, str]], window: int) -> dict[int, tuple
     return {n: (np.frombuffer(b"".join(w), np.uint64).reshape(-1, n), [sorted(x) for x in w.values()]) for n, w in by.items()}
 
 
-def find(index: DataFrame, items: DataFrame, window: int = WINDOW, within: int | None = None, turn_bytes: int = TURN_BYTES) -> DataFrame:
-    """(id, n_words, starts, lengths, items) for every document of ``index``, in each turn of ``items`` (item, text).
+def find(index: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, within: int | None = None, turn_bytes: int = TURN_BYTES) -> DataFrame:
+    """(block, k, id, n_words, starts, lengths, items), a row for every document of ``index``; ``items`` has (item, text).
 
     starts, lengths: word runs that match a window of ``window`` consecutive item words
     (an item of fewer, but not none, is one window). With ``within``, a match is a stretch
     of at most that many words that holds all the window's terms in any order.
-    Columns ``block`` and ``k`` name the document's row in the index.
+    ``block`` and ``k`` name the document's row in the index. A benchmark of over ``turn_bytes`` takes turns: the matches of one are written before
+    the next is read, so the driver holds one turn's windows, and meet by document at the end.
     """
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("id", kind), T.StructField("n_words", T.LongType()),
         T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
     ])
-    out = None
-    numbered = index.select(F.xxhash64("ids", "first", "terms").alias("block"), *index.columns)
-    for rows in _turns(items, turn_bytes):
-        windows = _windows(rows, window)
-        names = [item for item, _ in rows]
-        found = arrow_map(numbered, _lookup(windows, names, within, schema), schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else arrow_map(numbered, _lookup({}, [], within, schema), schema)
+    look = lambda rows: arrow_map(index, _lookup(_windows(rows, window), [item for item, _ in rows], within, schema), schema)
+    turns = _turns(items, turn_bytes)
+    rows, following = next(turns, []), next(turns, None)
+    if following is None:
+        return look(rows)
+    found = None
+    while rows:
+        hits = scratch.write(look(rows).filter(F.size("starts") > 0), "hits")
+        found = hits if found is None else found.union(hits)
+        rows, following = following or [], next(turns, None)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = found.groupBy("block", "k").agg(flat("starts"), flat("lengths"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    none = lambda c: F.coalesce(F.col(f"h.{c}"), F.col(f"a.{c}")).alias(c)
+    return look([]).alias("a").join(found.alias("h"), ["block", "k"], "left").select("block", "k", "id", "n_words", *[none(c) for c in ("starts", "lengths", "items")])
 
 
 def _lookup(windows, names, within, schema):
@@ -225,22 +233,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     empty texts have no words; an item without an id counts for hits and isn't named; items that share
     an id are one. An empty benchmark leaves all clean; an empty ``docs`` gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontam")
+    scratch = Scratch(docs.sparkSession, "decontam")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    # whole benchmarks are small beside what they test; larger ones go in turns, and their matches meet by document
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    index = build_index(source, scratch)
-    found = find(index, items, window, turn_bytes=turn_bytes)
-    if size >= turn_bytes:
-        found = found.groupBy("block", "k").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = find(build_index(source, scratch), items, scratch, window, turn_bytes=turn_bytes)
     kind = source.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())])
     out = arrow_map(found.select("id", "n_words", "starts", "lengths", "items"), _sum_up(kind), schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+#: The rows of op3_positional_index in DuckDB. Every window of an item is held against all stretches of as many words of all documents.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(len(w) - least(len(w), 13) + 1)) AS s FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, n, array_to_string(w[s + 1 : s + n], ' ') AS x FROM i),
+p AS (SELECT r, n, unnest(range(greatest(len(w) - n + 1, 0))) AS s, w FROM d, (SELECT DISTINCT n FROM v) AS l WHERE len(w) >= n),
+h AS (SELECT r, p.n, s, item FROM (SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS x FROM p) AS p JOIN v ON p.n = v.n AND p.x = v.x),
+c AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS pos FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
+
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, by 13-word windows."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

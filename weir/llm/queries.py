@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from weir.llm.bpe import op5_lexicon_bpe
-from weir.llm.decontam import op3_positional_index
+from weir.llm.decontam import OP3_SQL, op3_positional_index
 from weir.llm.langid import op8_script_viterbi
 from weir.llm.lm import op4_log_bilinear
 from weir.llm.media import op6_gear_chunks
-from weir.llm.near_dedup import op2_circulant_minhash
+from weir.llm.near_dedup import OP2_SQL, op2_circulant_minhash
 from weir.llm.pii import op10_keyed_surrogates
 from weir.llm.sharding import op1_histogram_shards
 from weir.llm.suffix_dedup import op7_cover_suffixes
@@ -26,4 +26,5 @@ QUERIES = {
     "op10_keyed_surrogates": op10_keyed_surrogates,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other operators need checksums, models or byte strings that SQL doesn't have; the tests hold them against brute force.
+ORACLES = {"op2_circulant_minhash": OP2_SQL, "op3_positional_index": OP3_SQL}
