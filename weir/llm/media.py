@@ -199,9 +199,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("rid"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), 16, "0")
+    # 128 bits tell rows apart, so that none takes another for the one that stores its payload
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.concat(half(1), half(2))).alias("rid"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    lists = scratch.write(arrow_map(source, _split, f"id {kind}, rid long, pid binary, manifest binary"), "manifests")
+    lists = scratch.write(arrow_map(source, _split, f"id {kind}, rid binary, pid binary, manifest binary"), "manifests")
     # one row of documents stores a payload: the least rid
     first = lists.groupBy("pid").agg(F.min("rid").alias("rid"), F.max("manifest").alias("manifest"))
     first = scratch.write(first, "payloads")
@@ -215,7 +217,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     part = first.select("pid", "rid").join(skip, "pid").select("rid", "skip", F.lit(False).alias("idle"))
     less = scratch.write(idle.distinct().union(part), "less")
     n_less = less.count()
-    rows = _joined(source.select("rid", "text"), less, "rid", 40 * n_less + 8 * n_skip).filter("not coalesce(idle, false)").select("text", "skip")
+    rows = _joined(source.select("rid", "text"), less, "rid", 48 * n_less + 8 * n_skip).filter("not coalesce(idle, false)").select("text", "skip")
     kept = scratch.write(arrow_map(rows, _store, "pid binary, manifest binary, whole boolean, body binary"), "store")
     wanted = borrowed.groupBy(F.col("from").alias("pid")).agg(F.collect_set("chunk").alias("wanted"))
     wanted = scratch.write(wanted.join(skip, "pid", "left").select("pid", "skip", "wanted"), "wanted")
