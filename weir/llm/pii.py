@@ -4,9 +4,14 @@ Entities are found by one expression per type. Each gets a replacement drawn fro
 a keyed hash of its type and canonical form: digits for digits, letters of the same
 case and script for letters, names of the same gender, valid octets, card numbers
 that pass their check where the original did. Equal entities, however written, get equal
-replacements anywhere in the corpus. A check over all distinct entities finds replacements
-that two entities share, or that are themselves an entity of the corpus; those are
-drawn again until none is left.
+replacements anywhere in the corpus.
+
+What is drawn is the part by which mentions belong together: of a name the family name, so that "Mr Smith" and "John Smith"
+stay one family, and of a phone number its last ten digits, with or without the country before them. Given names move along their
+list by a step that the family name and the key set, others letter by letter, so different given names of a family stay
+different without a check. A check over all distinct drawn parts finds replacements
+that two of them share, or that are themselves one of the corpus; those are
+drawn again. Where a shape has few spellings, later draws are longer, so this ends.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 
 from weir.llm._scratch import Scratch
 
+#: Draws after which a replacement gets longer by a character, where its type allows that; and draws at most.
+WIDER, MOST = 8, 64
 #: Redrawn entities that a plan may carry as a literal; beyond it they are joined.
 LITERAL = 1000
 
@@ -33,6 +40,10 @@ _MORE = {
     "fc": "Алина Алла Анастасия Валентина Валерия Вера Вероника Виктория Галина Дарья Евгения Елизавета Жанна Зоя Инна Кристина Ксения Лариса Лидия Людмила Маргарита Марина Надежда Нина Оксана Полина Раиса Софья София Тамара Яна",
 }
 _MORE = {k: v.split() for k, v in _MORE.items()}
+#: Lists along which given names move, by gender and script; a name stands in one.
+_POOLS = []
+for _k, _pool in (("m", _MALE), ("f", _FEMALE), ("mc", _MALE_CYRILLIC), ("fc", _FEMALE_CYRILLIC)):
+    _POOLS.append([x for x in dict.fromkeys(_pool + _MORE[_k]) if not any(x in p for p in _POOLS)])
 _HE, _SHE = "Mr|Sir|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
 _TITLES = rf"(?:(?:{_HE}|{_SHE}|Dr|Prof|Professor)\.? )+"
 
@@ -133,10 +144,55 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, canon: Column, key: str, draw: Column) -> Column:
-    """The canonical replacement of a canonical entity at a draw."""
-    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
-    return let(F.struct(h.alias("h"), kind.alias("kind"), canon.alias("canon")), lambda x: _surrogate(x["h"], x["kind"], x["canon"]))
+def drawn(kind: Column, canon: Column) -> tuple[Column, Column]:
+    """The type and text of the part of an entity for which a replacement is drawn."""
+    part = F.when(kind == "name", F.regexp_extract(canon, r"(\S+)$", 1)).when(kind == "phone", F.right(canon, F.lit(10))).otherwise(canon)
+    return F.when(kind == "name", F.lit("family")).otherwise(kind), part
+
+
+def surrogate(kind: Column, part: Column, key: str, draw: Column) -> Column:
+    """The replacement of a drawn part at a draw."""
+    more = F.floor(draw / WIDER).cast("int")
+    wide = F.when(kind == "email", F.concat(F.repeat(F.lit("x"), more), part)).when(kind.isin("family", "secret"), F.concat(part, F.repeat(F.lit("a"), more))).otherwise(part)
+    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, part, draw.cast("string")), 512)
+    return let(F.struct(h.alias("h"), kind.alias("kind"), wide.alias("canon")), lambda x: _surrogate(x["h"], x["kind"], x["canon"]))
+
+
+def whole(kind: Column, canon: Column, new: Column, key: str) -> Column:
+    """The canonical replacement of an entity, from that of its drawn part."""
+    return F.when(kind == "phone", F.concat(F.substring(canon, F.lit(1), F.greatest(F.length(canon) - 10, F.lit(0))), new)).when(kind == "name", _named(canon, new, key)).otherwise(new)
+
+
+def _named(canon: Column, new: Column, key: str) -> Column:
+    """A name with the family name ``new``; its other words move by steps that key and family name set."""
+    family, before = F.regexp_extract(canon, r"(\S+)$", 1), F.regexp_extract(canon, r"^(.*?)\S+$", 1)
+    h = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), family), 512)
+
+    def moved(h: Column) -> Column:
+        def one(word: Column, place: Column) -> Column:
+            out = None
+            for pool in _POOLS:
+                at = F.array_position(F.array(*[F.lit(x) for x in pool]), word).cast("int")
+                step = 1 + F.conv(F.substring(h, 1, 6), 16, 10).cast("int") % (len(pool) - 1)
+                pick = F.element_at(F.array(*[F.lit(x) for x in pool]), 1 + (at - 1 + step) % len(pool))
+                is_one = word.isin(pool)
+                out = F.when(is_one, pick) if out is None else out.when(is_one, pick)
+            return out.otherwise(F.array_join(F.transform(F.split(word, ""), lambda c, i: _turned(h, c, i)), ""))
+
+        return F.array_join(F.transform(F.split(before, "(?<= )|(?= )"), one), "")
+
+    return F.concat(F.when(before != "", let(h, moved)).otherwise(F.lit("")), new)
+
+
+def _turned(h: Column, c: Column, i: Column) -> Column:
+    """A letter moved along its alphabet by a step of its place; letters of no listed alphabet become one of their case."""
+    step = F.conv(F.substring(h, 7 + (i * 2) % 100, F.lit(2)), 16, 10).cast("int")
+    out = F.when(c == "", c)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"):
+        at = F.instr(F.lit(letters), c)
+        pick = F.substring(F.lit(letters), 1 + (at - 1 + 1 + step % (len(letters) - 1)) % len(letters), F.lit(1))
+        out = out.when(at > 0, pick)
+    return out.when(c.rlike(r"^\p{Lu}$"), F.char(65 + step % 26)).when(c.rlike(r"^\p{Ll}$"), F.char(97 + step % 26)).otherwise(c)
 
 
 def _surrogate(h: Column, kind: Column, canon: Column) -> Column:
@@ -146,8 +202,7 @@ def _surrogate(h: Column, kind: Column, canon: Column) -> Column:
     check = ((10 - _luhn(F.concat(stem, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(_luhn(canon) % 10 == 0, F.concat(stem, check)).otherwise(number)
     # a phone keeps its country and an exchange that may exist: the last ten digits change
-    tail = F.array_join(F.transform(F.split(F.right(canon, F.lit(10)), ""), lambda c, i: F.char(F.lit(48) + F.when(i.isin(0, 3), 2 + _nibble(h, i, 8)).otherwise(_nibble(h, i, 10)))), "")
-    phone = F.concat(F.substring(canon, F.lit(1), F.greatest(F.length(canon) - 10, F.lit(0))), tail)
+    phone = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.char(F.lit(48) + F.when(i.isin(0, 3), 2 + _nibble(h, i, 8)).otherwise(_nibble(h, i, 10)))), "")
     ip = F.array_join(F.transform(F.split(canon, r"\."), lambda c, i: (1 + _nibble(h, i * 7, 254)).cast("string")), ".")
     # an address keeps its top domain and shape
     top = F.regexp_extract(canon, r"(\.[A-Za-z]+)$", 1)
@@ -155,17 +210,9 @@ def _surrogate(h: Column, kind: Column, canon: Column) -> Column:
     secret = F.when(canon.rlike("^[0-9a-f]+$"), _hex(h, canon, F.lit(False))).when(canon.rlike("^[0-9A-F]+$"), _hex(h, canon, F.lit(True))).otherwise(
         F.concat(F.regexp_extract(canon, r"^(AKIA|ghp_|sk-|xox[bp]-|)", 1), _letters(h, F.regexp_replace(canon, r"^(?:AKIA|ghp_|sk-|xox[bp]-)", ""))))
     iban = F.concat(F.substring(canon, 1, 2), F.substring(letters, F.lit(3), F.length(letters)))
-    given, family = F.regexp_extract(canon, r"^(\S+)", 1), F.regexp_extract(canon, r"^\S+(.*)$", 1)
-    pools = {"m": _MALE, "f": _FEMALE, "mc": _MALE_CYRILLIC, "fc": _FEMALE_CYRILLIC}
-    named = None
-    for k, pool in pools.items():
-        pick = F.element_at(F.array(*[F.lit(x) for x in pool]), 1 + _nibble(h, F.lit(30), len(pool)))
-        is_one = given.isin(pool + _MORE[k])
-        named = F.when(is_one, pick) if named is None else named.when(is_one, pick)
-    name = F.concat(named.otherwise(_letters(h, given)), _letters(F.sha2(h, 512), family))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-        .when(kind == "ssn", number).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
+        .when(kind == "ssn", number).when(kind == "iban", iban).when(kind == "family", letters).otherwise(secret)
     )
 
 
@@ -179,10 +226,12 @@ def dress(kind: Column, entity: Column, new: Column) -> Column:
 
 
 def entities(texts: DataFrame) -> DataFrame:
-    """Distinct (kind, canon) of all of ``texts`` (text)."""
+    """Distinct drawn parts (kind, canon) of the entities of all of ``texts`` (text)."""
     e = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ALL), F.lit(0))).alias("e"))
     e = e.select(kind_of(F.col("e")).alias("kind"), "e")
-    return e.select("kind", canonical(F.col("kind"), F.col("e")).alias("canon")).distinct()
+    e = e.select("kind", canonical(F.col("kind"), F.col("e")).alias("canon"))
+    kind, canon = drawn(F.col("kind"), F.col("canon"))
+    return e.select(kind.alias("kind"), canon.alias("canon")).distinct()
 
 
 def redraws(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -190,7 +239,7 @@ def redraws(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
     Of entities that share a replacement the least keeps it; a replacement that is itself an
     entity of the corpus is given up by whoever drew it. Each turn only redraws what failed and
-    checks it against all.
+    checks it against all. What fails at draw ``MOST`` keeps it: then a type of one length has hardly a free spelling left.
     """
     now = scratch.write(known.select("kind", "canon", F.lit(0).alias("draw"), surrogate(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("new")), "drawn")
     while True:
@@ -198,7 +247,7 @@ def redraws(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         taken = known.select("kind", F.col("canon").alias("new"))
         bad = now.join(shared.filter("n > 1"), ["kind", "new"]).filter(F.struct("draw", "canon") != F.col("first")).select("kind", "canon", "draw")
         bad = bad.union(now.join(taken, ["kind", "new"], "left_semi").select("kind", "canon", "draw")).distinct()
-        bad = scratch.write(bad, "bad")
+        bad = scratch.write(bad.filter(F.col("draw") < MOST), "bad")
         if bad.isEmpty():
             return now.filter("draw > 0").select("kind", "canon", "draw")
         again = bad.select("kind", "canon", (F.col("draw") + 1).alias("draw"))
@@ -231,7 +280,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         def one(e: Column) -> Column:
             def with_kind(kind: Column) -> Column:
                 def with_canon(canon: Column) -> Column:
-                    return let(surrogate(kind, canon, key, draw(kind, canon)), lambda s: dress(kind, e, s))
+                    def with_part(x: Column) -> Column:
+                        return let(whole(kind, canon, surrogate(x["kind"], x["part"], key, draw(x["kind"], x["part"])), key), lambda s: dress(kind, e, s))
+
+                    of, part = drawn(kind, canon)
+                    return let(F.struct(of.alias("kind"), part.alias("part")), with_part)
 
                 return let(canonical(kind, e), with_canon)
 
@@ -242,8 +295,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         # rows get a written number, entities go their own way, and what they become comes back in order
         numbered = scratch.write(split.withColumn("_weir_row", F.monotonically_increasing_id()), "rows")
         e = numbered.select("_weir_row", F.posexplode("_weir_found").alias("at", "e")).withColumn("kind", kind_of(F.col("e")))
-        e = e.withColumn("canon", canonical(F.col("kind"), F.col("e"))).join(again, ["kind", "canon"], "left")
-        e = e.withColumn("new", dress(F.col("kind"), F.col("e"), surrogate(F.col("kind"), F.col("canon"), key, F.coalesce("draw", F.lit(0)))))
+        e = e.withColumn("canon", canonical(F.col("kind"), F.col("e")))
+        of, part = drawn(F.col("kind"), F.col("canon"))
+        e = e.withColumns({"of": of, "part": part}).join(again.select(F.col("kind").alias("of"), F.col("canon").alias("part"), "draw"), ["of", "part"], "left")
+        new = whole(F.col("kind"), F.col("canon"), surrogate(F.col("of"), F.col("part"), key, F.coalesce("draw", F.lit(0))), key)
+        e = e.withColumn("new", dress(F.col("kind"), F.col("e"), new))
         back = e.groupBy("_weir_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_weir_new"))
         new = numbered.join(back, "_weir_row", "left").withColumn("_weir_new", F.coalesce("_weir_new", F.array().cast("array<string>")))
     joined = F.array_join(F.transform("_weir_parts", lambda p, i: F.concat(p, F.coalesce(F.get("_weir_new", i), F.lit("")))), "")
