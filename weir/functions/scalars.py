@@ -5,9 +5,13 @@ All are expressions of built-in functions, so they stay inside generated code.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Blanks that are trimmed: Unicode white space and the four separators before it. Fixed values.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Spellings of a missing value, after trimming and lower-casing. Fixed values.
 MISSING = ("", "-", "nan", "none", "null", "unknown")
 #: Spellings of true. Fixed values.
@@ -16,8 +20,18 @@ TRUE = ("1", "true", "t", "yes", "y", "established")
 TLS_VERSIONS = {"SSLv3": 1, "TLSv10": 2, "TLSv11": 3, "TLSv12": 4, "TLSv13": 5}
 
 
+def strip(c: Column) -> Column:
+    """Text without blanks of any kind at either end."""
+    return F.btrim(c.cast("string"), F.lit(BLANKS))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` reads it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_missing(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(c)).isin(*MISSING)
+    return c.isNull() | F.lower(strip(c)).isin(*MISSING)
 
 
 def to_long63(hex_digest: Column) -> Column:
@@ -27,10 +41,9 @@ def to_long63(hex_digest: Column) -> Column:
 
 
 def hmac_sha256(c: Column, key: str) -> Column:
-    """Hex HMAC-SHA256 of a string column under a key of at most 64 bytes."""
+    """Hex HMAC-SHA256 of a string column; as the standard has it, a key of over 64 bytes is hashed first."""
     raw = key.encode()
-    if len(raw) > 64:
-        raise ValueError("a key has at most 64 bytes")
+    raw = hashlib.sha256(raw).digest() if len(raw) > 64 else raw
     inner, outer = (bytes(b ^ p for b in raw.ljust(64, b"\0")) for p in (0x36, 0x5C))
     first = F.sha2(F.concat(F.lit(inner), F.encode(c, "UTF-8")), 256)
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
@@ -39,14 +52,19 @@ def hmac_sha256(c: Column, key: str) -> Column:
 def keyed_hash64(c: Column, key: str) -> Column:
     """A keyed 63-bit hash of trimmed text; 0 for a missing value."""
     c = c.cast("string")
-    return F.when(is_missing(c), F.lit(0).cast("long")).otherwise(to_long63(hmac_sha256(F.trim(c), key)))
+    return F.when(is_missing(c), F.lit(0).cast("long")).otherwise(to_long63(hmac_sha256(strip(c), key)))
+
+
+def number(c: Column) -> Column:
+    """A double of text that is a decimal number (digits may be parted by single underscores); else null. Java's suffixes and hexadecimals are no numbers."""
+    text = F.regexp_replace(strip(c), r"(?<=\d)_(?=\d)", "")
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
 def float_or_zero(c: Column) -> Column:
     """A finite double; 0 for null, blank, NaN, infinite or unparsable."""
-    x = F.expr("1") if c is None else F.trim(c.cast("string")).try_cast("double")
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(x)
+    x = number(c)
+    return F.when(x.isNull() | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
 
 
 def int_or_zero(c: Column) -> Column:
@@ -56,37 +74,61 @@ def int_or_zero(c: Column) -> Column:
 
 def bool_id(c: Column) -> Column:
     """1 for a spelling of true, else 0."""
-    return F.when(F.lower(F.trim(c.cast("string"))).isin(*TRUE), 1).otherwise(0).cast("int")
+    return F.when(F.lower(strip(c)).isin(*TRUE), 1).otherwise(0).cast("int")
 
 
 def is_one(c: Column) -> Column:
-    return F.coalesce(F.trim(c.cast("string")).isin("1", "1.0", "true", "True", "TRUE"), F.lit(False))
+    return F.coalesce(strip(c).isin("1", "1.0", "true", "True", "TRUE"), F.lit(False))
 
 
 def first_present(*columns: Column) -> Column:
     """The first column that is neither null nor blank."""
-    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c.cast("string")) for c in columns])
+    return F.coalesce(*[F.when(strip(c) != "", c.cast("string")) for c in columns])
+
+
+def _bare(c: Column) -> Column:
+    """Trimmed text without brackets at its ends."""
+    return F.regexp_replace(strip(c), r"^[\[\]()]+|[\[\]()]+$", "")
+
+
+def _listed(c: Column) -> Column:
+    """Is a text list present?"""
+    return F.coalesce(~F.lower(strip(c)).isin("", "nan", "none", "null", "[]"), F.lit(False))
+
+
+def _barred(c: Column) -> Column:
+    """Items of a list that is parted by bars."""
+    return F.filter(F.split(_bare(c), r"\|"), lambda x: x != "")
 
 
 def parse_sequence(c: Column) -> Column:
-    """Numbers of a text list: brackets stripped, parted by blanks, commas, semicolons or bars; unparsable ones are 0."""
-    body = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^[\[\(]+|[\]\)]+$", "")
-    parts = F.filter(F.split(body, r"[\s,;|]+"), lambda x: x != "")
-    return F.transform(parts, lambda x: float_or_zero(x))
+    """Numbers of a text list, unparsable ones as 0; none for a missing value.
+
+    Brackets are stripped. A text with bars is parted by bars alone; any other by blanks, commas and semicolons, and its items may be quoted.
+    """
+    loose = F.filter(F.split(_bare(c), r"[\s,;]+"), lambda x: x != "")
+    loose = F.transform(loose, lambda x: F.regexp_replace(x, "^(['\"])(.*)\\1$", "$2"))
+    parts = F.when(c.contains("|"), _barred(c)).otherwise(loose)
+    return F.when(_listed(c), F.transform(parts, float_or_zero)).otherwise(F.array().cast("array<double>"))
 
 
 def string_entropy(c: Column) -> Column:
     """Shannon bits over the characters of a text; 0 for an empty one."""
-    chars = F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    sizes = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)).cast("double"))
-    bits = F.aggregate(sizes, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
-    return F.when(n > 0, bits).otherwise(0.0)
+
+    def bits(chars: Column) -> Column:
+        # characters in order: a run's length is what its end adds to -k log2 k
+        n = F.size(chars).cast("double")
+        start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s"))
+        more = lambda a: a["s"] + F.when(a["k"] > 0, a["k"] * F.log2(a["k"])).otherwise(0.0)
+        step = lambda a, x: F.when(x == a["c"], F.struct(x.alias("c"), (a["k"] + 1.0).alias("k"), a["s"].alias("s"))).otherwise(F.struct(x.alias("c"), F.lit(1.0).alias("k"), more(a).alias("s")))
+        return F.when(n > 0, F.log2(n) - F.aggregate(chars, start, step, more) / n).otherwise(0.0)
+
+    return let(F.array_sort(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")), bits)
 
 
 def last_label(c: Column) -> Column:
     """The last dotted label of a host name in lower case; blank without a dot."""
-    host = F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^\.+|\.+$", ""))
+    host = F.lower(F.btrim(strip(F.coalesce(c, F.lit(""))), F.lit(".")))
     return F.when(host.contains("."), F.element_at(F.split(host, r"\."), -1)).otherwise("")
 
 
@@ -100,9 +142,9 @@ def tls_version_id(c: Column) -> Column:
 
 
 def parse_vector(c: Column) -> Column:
-    """Items of a log's vector field; none for ``-`` and ``(empty)``."""
-    text = F.trim(F.coalesce(c, F.lit("")))
-    items = F.filter(F.split(text, "[, ]"), lambda x: (x != "") & (x != "-"))
+    """Items of a log's vector field, parted by commas and blanks; none for ``-`` and ``(empty)``."""
+    text = strip(F.coalesce(c, F.lit("")))
+    items = F.filter(F.split(text, r"[,\s]+"), lambda x: (x != "") & (x != "-"))
     return F.when(text.isin("-", "(empty)", ""), F.array().cast("array<string>")).otherwise(items)
 
 
@@ -111,28 +153,48 @@ def epoch_seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / 1e6
 
 
+def _iso_seconds(c: Column) -> Column:
+    """Epoch seconds of an ISO date or time, in UTC where it names no zone; else null."""
+    text = F.regexp_replace(strip(c), "Z", "+00:00")
+    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}.\d{2}.*[+-]\d{2}(:?\d{2}){0,2}$")
+    whole = F.when(day, F.concat(text, F.lit("T00:00:00+00:00"))).when(zoned, text).otherwise(F.concat(text, F.lit("+00:00")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}.*)?$"), F.unix_micros(whole.try_cast("timestamp")) / 1e6)
+
+
 def timestamp_or_zero(c: Column) -> Column:
     """Epoch seconds of a number or an ISO time (no zone means UTC); else 0."""
-    text = F.trim(c.cast("string"))
-    number = text.try_cast("double")
-    stamp = F.unix_micros(F.regexp_replace(text, "Z$", "+00:00").try_cast("timestamp")) / 1e6
-    finite = F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
-    return F.coalesce(finite, stamp, F.lit(0.0))
+    x = float_or_zero(c)
+    return F.when(x != 0, x).otherwise(F.coalesce(_iso_seconds(c), F.lit(0.0)))
+
+
+def time_sequence(c: Column) -> Column:
+    """Epoch seconds of the items of a barred text list, as ``timestamp_or_zero``; none for a missing value."""
+    return F.when(_listed(c), F.transform(_barred(c), timestamp_or_zero)).otherwise(F.array().cast("array<double>"))
 
 
 def seconds_of_day(c: Column) -> Column:
-    """Seconds since midnight of the HH:MM:SS[.fraction] in a text, at its end or after a T; without one, as ``timestamp_or_zero``."""
-    clock = F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d{2}:\d{2}:\d{2}(?:\.\d+)?)", 1)
-    at = lambda a, n: F.substring(clock, a, n).try_cast("double")
-    value = at(1, 2) * 3600 + at(4, 2) * 60 + at(7, 20)
-    return F.when(clock != "", value).otherwise(timestamp_or_zero(c))
+    """Seconds since midnight of a text that starts with a clock, or has one right after its first T: two digits for each of hours, minutes and seconds at its places 1, 4 and 7, then a fraction. Any other text counts as ``timestamp_or_zero``."""
+    text = strip(c)
+    clock = F.when(text.contains("T"), F.regexp_replace(text, r"(?s)^[^T]*T", "")).otherwise(text)
+    two = lambda at: F.when(F.substring(clock, at, 2).rlike(r"^(\d\d|[ +-]\d|\d )$"), strip(F.substring(clock, at, 2)).try_cast("double"))
+    fraction = F.regexp_extract(clock, r"(?s)^.{8}\.(\d+)", 1)
+    value = two(1) * 3600 + two(4) * 60 + two(7) + F.when(fraction != "", F.concat(F.lit("0."), fraction).try_cast("double")).otherwise(0.0)
+    return F.coalesce(value, timestamp_or_zero(text))
 
 
 def gaps_of_day(times: Column, n: Column) -> Column:
     """``n`` gaps between clock times of an array of texts: 0 first, a day added where the clock wraps, padded with 0 or cut."""
-    s = F.transform(times, seconds_of_day)
-    gaps = F.transform(s, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x - F.get(s, i - 1) + F.when(x < F.get(s, i - 1), 86400.0).otherwise(0.0)))
-    return F.slice(F.concat(F.coalesce(gaps, F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), n)), F.lit(1), n)
+    gap = lambda a, b: F.greatest(b - a + F.when(b < a, 86400.0).otherwise(0.0), F.lit(0.0))
+    gaps = lambda s: F.concat(F.slice(F.array(F.lit(0.0)), F.lit(1), F.least(F.size(s), F.lit(1))), F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), gap))
+    found = let(F.transform(times, seconds_of_day), gaps)
+    n = F.greatest(n, F.lit(0))
+    return F.slice(F.concat(F.coalesce(found, F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), n)), F.lit(1), n)
+
+
+def gap_sequence(c: Column, n: Column) -> Column:
+    """``gaps_of_day`` of a barred text list; all 0 for a missing value."""
+    return gaps_of_day(F.when(_listed(c), _barred(c)).otherwise(F.array().cast("array<string>")), n)
 
 
 def signed_lengths(lengths: Column, directions: Column | None = None) -> Column:
@@ -143,11 +205,37 @@ def signed_lengths(lengths: Column, directions: Column | None = None) -> Column:
     return F.transform(both, lambda x: F.when(x["d"] >= 0, x["n"]).otherwise(-x["n"]))
 
 
+#: Parts of a row's identity, in order; the two times are written with six decimals. Fixed values.
+IDENTITY = ("schema_version", "source", "source_file", "source_record_id", "proto", "src_ip_hash64", "dst_ip_hash64", "src_port", "dst_port", "time_first", "time_last", "label")
+SCHEMA_VERSION = "mining_dataset_v1"
+
+
+def row_id(columns: dict[str, Column]) -> Column:
+    """The id of a row by the twelve parts of its identity; one that is not among ``columns`` is blank, or the version or time 0 that stands for it."""
+    none = {"schema_version": F.lit(SCHEMA_VERSION)}
+    parts = []
+    for name in IDENTITY:
+        c = columns.get(name, none.get(name, F.lit("")))
+        parts.append(six_decimals(float_or_zero(c)) if name.startswith("time_") else c)
+    return sample_id(*parts)
+
+
 def sample_id(*parts: Column) -> Column:
     """SHA-256 of parts joined by bars; a null part is blank."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def stem(path: Column) -> Column:
+    """A file's name without its folders and its last suffix."""
+    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", "")
+
+
+def now_iso() -> Column:
+    """The time in UTC as ISO text, to the second."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def six_decimals(c: Column) -> Column:
     return F.format_string("%.6f", F.coalesce(c, F.lit(0.0)))
 
@@ -177,14 +265,22 @@ def fingerprint(named: dict[str, Column]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(n + "="), F.coalesce(c.cast("string"), F.lit(""))) for n, c in named.items()]), 256)
 
 
-def certificate_facts(not_before: Column, not_after: Column, subject: Column, issuer: Column, names: Column) -> dict[str, Column]:
-    """Validity in days, alternative names and self-signing of a certificate."""
-    days = (timestamp_or_zero(not_after) - timestamp_or_zero(not_before)) / 86400
-    return {
-        "validity_days": F.greatest(days, F.lit(0.0)),
+def certificate_facts(not_before: Column, not_after: Column, subject: Column, issuer: Column, names: Column, chain: Column | None = None, key_length: Column | None = None, key: str | None = None) -> dict[str, Column]:
+    """Facts of a certificate: validity in days (0 unless both ends are there), alternative names, self-signing; with ``chain`` its length, with ``key_length`` that as a number, and with a ``key`` hashes of the two names."""
+    there = lambda c: F.coalesce(strip(c) != "", F.lit(False))
+    days = F.greatest((timestamp_or_zero(not_after) - timestamp_or_zero(not_before)) / 86400, F.lit(0.0))
+    out = {
+        "validity_days": F.when(there(not_before) & there(not_after), days).otherwise(0.0),
         "san_count": F.size(parse_vector(names)).cast("int"),
-        "self_signed": F.when((subject == issuer) & ~is_missing(subject), 1).otherwise(0).cast("int"),
+        "self_signed": F.when(there(subject) & there(issuer) & (subject == issuer), 1).otherwise(0).cast("int"),
     }
+    if chain is not None:
+        out["chain_len"] = F.size(parse_vector(chain)).cast("int")
+    if key_length is not None:
+        out["key_length"] = int_or_zero(key_length)
+    if key is not None:
+        out |= {"subject_hash64": keyed_hash64(subject, key), "issuer_hash64": keyed_hash64(issuer, key)}
+    return out
 
 
 def possible_tls_port(port: Column, has_tls: Column, ports: tuple[int, ...] = (443, 8443, 9443)) -> Column:
