@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.operators import metrics
+
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of each combination; null is one of its own."""
@@ -18,9 +20,11 @@ def joined_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
-    """Exact quantiles ``q<percent>`` by linear interpolation."""
-    out = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(x) for x in levels])).alias("_q"))
-    return out.select(*by, *[F.col("_q")[k].alias(f"q{round(x * 100)}") for k, x in enumerate(levels)])
+    """Exact quantiles ``q<percent>`` by linear interpolation; nulls and NaN are left out."""
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = known.groupBy(*by, value).agg(F.count("*").alias("_k"))
+    out = metrics.exact_quantiles(counts, by, value, "_k", list(levels), metrics.range_of(F.col(value), metrics.spread(known, [value])[value]))
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("quantile"))).alias(f"q{round(x * 100)}") for k, x in enumerate(levels)])
 
 
 def missing_rates(df: DataFrame) -> DataFrame:

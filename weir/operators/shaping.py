@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weir.functions.scalars import fingerprint, parse_sequence, row_id, strip
+from weir.functions.scalars import stem as file_stem
+from weir.operators import metrics
+
 #: Substrings of labels that speak of mining. Fixed values.
 MINING = ("miner", "mining", "cryptomining", "stratum", "xmr", "monero")
 
@@ -20,11 +26,12 @@ def columns_named(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col(f"`{have[n.lower()]}`") for n in names if n.lower() in have]
 
 
-def normalize(df: DataFrame, schema: T.StructType, pad_nulls: bool = False) -> DataFrame:
+def normalize(df: DataFrame, schema: T.StructType, pad_nulls: bool = False, mint: str | None = None) -> DataFrame:
     """Columns of ``schema`` in its order and types.
 
     A column that ``df`` lacks takes the ``padding`` of its field's metadata. One that it has keeps its nulls,
-    unless ``pad_nulls``. Other columns go.
+    unless ``pad_nulls``. Text where the schema has an array of numbers is read as a sequence. ``mint`` names an id column: where it is
+    missing or blank it gets the hash of the row's identity. Other columns go.
     """
     out = []
     for f in schema.fields:
@@ -32,9 +39,15 @@ def normalize(df: DataFrame, schema: T.StructType, pad_nulls: bool = False) -> D
         if f.name not in df.columns:
             out.append(pad.alias(f.name))
             continue
-        c = F.col(f"`{f.name}`").cast(f.dataType)
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType) and isinstance(df.schema[f.name].dataType, T.StringType):
+            c = parse_sequence(c)
+        c = c.cast(f.dataType)
         out.append((F.coalesce(c, pad) if pad_nulls else c).alias(f.name))
-    return df.select(*out)
+    df = df.select(*out)
+    if mint is None:
+        return df
+    return df.withColumn(mint, F.when(strip(F.col(mint)) != "", F.col(mint)).otherwise(row_id({c: F.col(f"`{c}`") for c in df.columns})))
 
 
 def type_name(header: str) -> str:
@@ -71,6 +84,11 @@ def split_rejects(df: DataFrame, keep: Column, reason: str) -> tuple[DataFrame,
     return df.filter(ok), df.filter(~ok).withColumn("reject_reason", F.lit(reason))
 
 
+def stem_among(path: Column, stems: DataFrame, df: DataFrame, stem: str = "stem") -> DataFrame:
+    """Rows of ``df`` whose file name without folders and suffix is one of ``stems``."""
+    return df.withColumn("_stem", file_stem(path)).join(stems.select(F.col(stem).alias("_stem")).distinct(), "_stem", "left_semi").drop("_stem")
+
+
 def enough_packets(packets: Column, least: int = 3) -> Column:
     """Not between 1 and ``least`` - 1: a flow without a count is kept."""
     return ~((packets > 0) & (packets < least))
@@ -83,11 +101,11 @@ def keep_or_all(df: DataFrame, keep: Column) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``<column>_code``, the index of its text among the sorted distinct ones; null is blank.
+    """``df`` with ``<column>_code``, the index of its text among the sorted distinct ones; null is the text ``None``.
 
     The distinct values meet in one task, as the codes need one order; the rows don't.
     """
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(column).cast("string"), F.lit("None"))
     codes = df.select(text.alias("_text")).distinct().withColumn(f"{column}_code", (F.row_number().over(Window.orderBy("_text")) - 1).cast("int"))
     return df.withColumn("_text", text).join(codes, "_text").drop("_text")
 
@@ -112,36 +130,51 @@ def row_caps(df: DataFrame, order: list, total: int | None = None, per: str | No
     return df if total is None else df.orderBy(*order).limit(total)
 
 
-def placeholders(df: DataFrame, name: str, order: list, **constants) -> DataFrame:
-    """One row per row of a table that has no mapping: constants and ids ``name:index``."""
-    return df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("_i")).select(F.concat(F.lit(name + ":"), F.col("_i").cast("string")).alias("source_record_id"), *[F.lit(v).alias(k) for k, v in constants.items()])
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_n``, its rows' places from 1 in the order of columns. Where the first is a number, ranges of it are numbered apart."""
+    first = order[0]
+    number = isinstance(df.schema[first].dataType, T.NumericType)
+    parted = df.withColumn("_part", F.coalesce(metrics.range_of(F.col(first), metrics.spread(df, [first])[first]), F.lit(-(1 << 30))) if number else F.lit(0))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_k"))
+    before = sizes.select("_part", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parted.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("_n", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
 
 
-def canonical_values(df: DataFrame, columns: list[str], padding: dict | None = None) -> DataFrame:
-    """``columns`` as canonical text: six significant digits for fractions, as C prints them; a missing or unfinite value takes its column's ``padding`` (0 for numbers, else blank).
+def placeholders(df: DataFrame, name: str, order: list, **constants) -> DataFrame:
+    """One row per row of a table that has no mapping: constants and ids ``name:index`` in the order of the columns ``order``.
 
-    Java's formatter rounds ties the other way and keeps zeros, so this goes through Arrow batches.
+    Rows are counted by ranges first, so that no task numbers the whole table.
     """
-    import pyarrow as pa
-
-    names = [f"{c}_text" for c in columns]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
-
-    numbers = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
-    default = {c: (padding or {}).get(c, 0 if numbers[c] else "") for c in columns}
-    fraction = {f.name: isinstance(f.dataType, T.FractionalType) for f in df.schema.fields}
+    return numbered(df, order).select((F.col("_n") - 1).alias("_i")).select(F.concat(F.lit(name + ":"), F.col("_i").cast("string")).alias("source_record_id"), *[F.lit(v).alias(k) for k, v in constants.items()])
 
-    def one(v, c: str) -> str:
-        if v is None or v == "" or (fraction[c] and not abs(v) < float("inf")):
-            v = default[c]
-        return f"{float(v):.6g}" if fraction[c] else str(v)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [pa.array([one(v, c) for v in b.column(b.schema.get_field_index(c)).to_pylist()], pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
+def canonical_values(df: DataFrame, columns: list[str], padding: dict | None = None) -> DataFrame:
+    """``columns`` as canonical text ``<column>_text``: six significant digits for fractions, as C prints them; a missing or unfinite value takes its column's ``padding`` (0 for numbers, else blank).
 
-    return df.mapInArrow(run, schema)
+    Whole numbers and text are cast. Java's formatter rounds ties the other way and keeps zeros, so fractions go through Arrow batches, each distinct value of a batch once.
+    """
+    def short(values: pa.Array) -> pa.Array:
+        codes = pc.dictionary_encode(values)
+        each = np.asarray(codes.dictionary, np.float64).tolist()
+        return pa.array([f"{v:.6g}" for v in each], pa.string()).take(codes.indices)
+
+    text = {}
+    for c in columns:
+        kind, pad, at = df.schema[c].dataType, (padding or {}).get(c), F.col(f"`{c}`")
+        if isinstance(kind, T.FractionalType):
+            known = F.when(F.abs(at.cast("double")) < F.lit(float("inf")), at.cast("double"))
+            text[f"{c}_text"] = F.arrow_udf(short, "string")(F.coalesce(known, F.lit(float(pad or 0))))
+        else:
+            none = F.lit(str(pad if pad is not None else 0 if isinstance(kind, T.NumericType) else ""))
+            text[f"{c}_text"] = F.coalesce(F.when(at.cast("string") != "", at.cast("string")), none)
+    return df.withColumns(text)
+
+
+def model_fingerprint(df: DataFrame, columns: list[str], padding: dict | None = None, name: str = "fingerprint") -> DataFrame:
+    """``df`` with the hash of the canonical values of ``columns``, by which rows that a model can't tell apart are duplicates."""
+    texts = canonical_values(df, columns, padding)
+    return texts.withColumn(name, fingerprint({c: F.col(f"`{c}_text`") for c in columns})).drop(*[f"{c}_text" for c in columns])
 
 
 def features(schema: T.StructType, groups: set[str] | None = None, exclude: set[str] = frozenset()) -> list[str]:

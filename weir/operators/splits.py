@@ -13,22 +13,33 @@ def hash_order(row: str, seed: int = 42) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")), 256)
 
 
+def _drawn(df: DataFrame, row: str, stratum: str, seed: int) -> DataFrame:
+    """``df`` with ``_r``, a row's place in its stratum by a hash of its id, and ``_all``, the stratum's size.
+
+    A hash's first three digits are even ranges, so a stratum is counted by range and numbered within each; no task has all of it.
+    """
+    rows = df.withColumn("_h", hash_order(row, seed)).withColumn("_part", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(stratum, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(stratum).alias("_s"), F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(stratum)).alias("_all"))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_part").orderBy("_h")))
+    both = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_q")))
+    return both.withColumn("_r", F.col("_i") + F.col("_before")).select(*df.columns, "_r", "_all")
+
+
 def stratified_sample(df: DataFrame, row: str, stratum: str, total: int, keep_whole: Column, seed: int = 42) -> DataFrame:
     """Rows where ``keep_whole`` holds, and of the others ``total`` in proportion to their stratum, chosen by a hash of the id."""
     rest = df.filter(~keep_whole)
-    sizes = rest.groupBy(stratum).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    take = sizes.select(stratum, F.least(F.bround(F.lit(float(total)) * F.col("_n") / F.col("_all")).cast("long"), F.col("_n")).alias("_take"))
-    ranked = rest.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(row, seed))))
-    chosen = ranked.join(F.broadcast(take), stratum).filter("_r <= _take").select(df.columns)
-    return df.filter(keep_whole).select(df.columns).unionByName(chosen)
+    whole = rest.agg(F.count("*").alias("_total"))
+    drawn = _drawn(rest, row, stratum, seed).join(F.broadcast(whole))  # one row
+    take = F.least(F.bround(F.lit(float(total)) * F.col("_all") / F.col("_total")).cast("long"), F.col("_all"))
+    return df.filter(keep_whole).select(df.columns).unionByName(drawn.filter(F.col("_r") <= take).select(df.columns))
 
 
 def stratified_split(df: DataFrame, row: str, stratum: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: in each stratum the first rows by a hash of the id are test."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(row, seed))))
-    sizes = df.groupBy(stratum).agg(F.bround(F.count("*") * test_share).cast("long").alias("_test"))
-    return ranked.join(F.broadcast(sizes), stratum).withColumn("split", F.when(F.col("_r") <= F.col("_test"), "test").otherwise("train")).select(*df.columns, "split")
+    test = F.col("_r") <= F.bround(F.col("_all") * test_share).cast("long")
+    return _drawn(df, row, stratum, seed).withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def group_split(groups: DataFrame, group: str, size: str, targets: dict[str, float] = SPLITS) -> DataFrame:
