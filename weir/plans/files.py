@@ -10,7 +10,7 @@ from weir.plans.registry import query, table
 from weir.sources import sinks, tables
 from weir.streaming.bursts import session_bursts
 
-PATHS = ["/raw/alpha/a.pcap", "/raw/beta/b.pcapng", "/raw/x/c.csv.zip", "/raw/alpha/d.csv.gz", "/raw/x/conn.log.gz", "/raw/x/e.parquet", "/raw/beta/f.tar.gz", "/raw/x/readme"]
+PATHS = ["/raw/alpha/a.pcap", "/raw/beta/b.pcapng", "/raw/x/c.csv.zip", "/raw/alpha/d.csv.gz", "/raw/x/conn.log.gz", "/raw/x/e.parquet", "/raw/beta/f.tar.gz", "/raw/x/readme", "/raw/x/conn.log.labeled", "/raw/x/a.TAR", "/raw/x/notes.txt", "/raw/x/.hidden", "/raw/x/k.tgz", "/raw/x/s.log.bz2"]
 _PATHS = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PATHS)) + ") AS t(i, p)"
 
 
@@ -40,9 +40,12 @@ def sc15(spark, d):
     return tables.file_manifest(spark, d, ["testdata"], {"testdata": "synthetic"})
 
 
+_NAME = "lower(regexp_extract(p, '[^/]*$'))"
+
+
 @query("sc17_sc18_file_types", f"""
-SELECT i, CASE WHEN regexp_matches(p, '\\.(pcap|pcapng|cap)$') THEN 'pcap' WHEN regexp_matches(p, '\\.csv(\\.gz|\\.zip)?$') THEN 'csv' WHEN regexp_matches(p, '\\.(parquet|pq)$') THEN 'parquet' WHEN regexp_matches(p, '\\.log(\\.gz)?$') THEN 'zeek_log'
- WHEN regexp_matches(p, '\\.(zip|tar|tgz|tar\\.gz|7z)$') THEN 'archive' ELSE 'other' END AS kind, CASE WHEN string_split(p, '/')[3] IN ('alpha', 'beta') THEN string_split(p, '/')[3] ELSE 'unknown' END AS source FROM {_PATHS}""")
+SELECT i, CASE WHEN regexp_matches({_NAME}, '\\.(pcap|pcapng|cap)$') THEN 'pcap' WHEN regexp_matches({_NAME}, '\\.csv(\\.gz|\\.zip)?$') THEN 'csv' WHEN regexp_matches({_NAME}, '\\.(parquet|pq)$') THEN 'parquet' WHEN regexp_matches({_NAME}, '\\.(log|log\\.gz|labeled)$') THEN 'zeek_log'
+ WHEN regexp_matches({_NAME}, '\\.(zip|tgz|tar\\.gz|7z)$') THEN 'archive' ELSE coalesce(nullif(regexp_extract({_NAME}, '[^.]\\.([^.]+)$', 1), ''), 'unknown') END AS kind, CASE WHEN string_split(p, '/')[3] IN ('alpha', 'beta') THEN string_split(p, '/')[3] ELSE 'unknown' END AS source FROM {_PATHS}""")
 def sc17(spark, d):
     t = spark.createDataFrame([*enumerate(PATHS)], "i int, p string")
     return t.select("i", tables.file_type(F.col("p")).alias("kind"), tables.source_for(F.col("p"), ["alpha", "beta"]).alias("source"))

@@ -52,11 +52,12 @@ def encrypted_flag(value: Column) -> Column:
 
 
 def file_type(path: Column) -> Column:
-    """Kind of a file by its suffix; CSV is tested before archives, so a zipped CSV is CSV."""
-    low = F.lower(path)
+    """Kind of a file by its suffixes; CSV is tested before archives, so a zipped CSV is CSV. Any other suffix is a kind of its own, and a name without one is ``unknown``."""
+    name = F.regexp_replace(F.regexp_extract(F.lower(path), r"([^/]*)/*$", 1), r"^\.+", "")
+    last = F.regexp_extract(name, r"\.([^.]+)$", 1)
     return (
-        F.when(low.rlike(r"\.(pcap|pcapng|cap)$"), "pcap").when(low.rlike(r"\.csv(\.gz|\.zip)?$"), "csv").when(low.rlike(r"\.(parquet|pq)$"), "parquet")
-        .when(low.rlike(r"\.log(\.gz)?$"), "zeek_log").when(low.rlike(r"\.(zip|tar|tgz|tar\.gz|7z)$"), "archive").otherwise("other")
+        F.when(name.rlike(r"\.(pcap|pcapng|cap)$"), "pcap").when(name.rlike(r"\.csv(\.gz|\.zip)?$"), "csv").when(name.rlike(r"\.(parquet|pq)$"), "parquet")
+        .when(name.rlike(r"\.(log|log\.gz|labeled)$"), "zeek_log").when(name.rlike(r"\.(tar\.gz|tgz|zip|7z)$"), "archive").when(last != "", last).otherwise("unknown")
     )
 
 
