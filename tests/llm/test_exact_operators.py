@@ -189,12 +189,29 @@ def test_lm_counts(spark, mixed):
         assert r["score"] < 0
 
 
-def test_lm_is_normalised():
-    flat = lm.Weights.start(np.full(lm.SLOTS, 1 / lm.SLOTS)).flat
-    model = lm.Model(flat, np.zeros(0, np.uint64), 1, 1, np.ones(lm.CLASSES), np.ones(lm.CLASSES))
+def test_lm_is_normalised(monkeypatch):
+    monkeypatch.setattr(lm, "_AT_ONCE", 2)
+    rng = np.random.default_rng(8)
+    outputs = lm.Outputs(rng.integers(0, 2**63, 90).astype(np.uint64), 5000 / np.arange(1, 91), rng.random(lm.CLASSES) * 40)
+    slots = np.arange(outputs.size[0])
+    assert (np.diff(outputs.share) <= 0).all() and (np.diff(outputs.group) >= 0).all() and outputs.size[1] > 5
+    assert sorted([*outputs.slots(outputs.head, np.zeros(90, int)), *outputs.slots(np.zeros(lm.CLASSES, np.uint64), np.arange(lm.CLASSES))]) == slots.tolist()
+    trainer = lm.Trainer(lm.Weights.start(outputs).flat, outputs, 0.1, 0)
+    for _ in range(30):
+        one = rng.choice(slots, 400, p=outputs.share)
+        trainer.learn(one, one, (one * 7 + 1) % len(slots))
+    model = lm.Model(trainer.w.flat, outputs, 1, 1, np.ones(lm.CLASSES), np.ones(lm.CLASSES))
     for before in ([], [3], [3, 7]):
-        total = sum(10 ** model.log10(np.array([*before, s]), np.array([0, len(before) + 1]))[-1] for s in range(lm.SLOTS))
+        total = sum(10 ** model.log10(np.array([*before, s]), np.array([0, len(before) + 1]))[-1] for s in slots)
         assert abs(total - 1) < 1e-3
+    follows = np.array([10 ** model.log10(np.array([3, 3, s]), np.array([0, 3]))[-1] for s in slots])
+    assert follows.argmax() == 22
+
+
+def test_lm_beats_its_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = lm.score(docs, fold(n=10) != 0).filter(fold("id", 10) == 0).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert out["s"] > 0.97 * out["b"]
 
 
 def test_chains():
