@@ -74,11 +74,15 @@ def _close_all() -> None:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, of which it and the JVM hold some copies; set where the session has Spark's own value.
+BATCH, _OWN = "8m", ("64m", "67108864", "67108864b")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, for clusters whose Python path lacks it."""
+    """Give executors this package, for clusters whose Python path lacks it, and bound the batches that they get."""
     sc = spark.sparkContext
+    if str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")).lower() in _OWN:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)

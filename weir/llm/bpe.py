@@ -32,7 +32,7 @@ from weir.llm._scratch import Scratch, arrow_map
 
 #: Most words in the lexicon.
 LEXICON = 1 << 15
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 #: Distinct words that a task counts before it sends them on.
 _HELD = 200_000
 #: Counts of words are told apart by sixteenths of an octave where the lexicon is cut.

@@ -39,6 +39,8 @@ BANDS, ROWS = 40, 5
 _SLOTS = 1 << 20
 #: Members that share one copy of their hub's text in verification.
 _LOT = 64
+#: Text bytes that are cut into shingles at once.
+_BLOCK = 1 << 19
 #: Shingles of a block's queries, and of what is held against them.
 _PART, _CHUNK = 1 << 18, 1 << 20
 
@@ -77,7 +79,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, _ = _text.column(b, "text")
-            for i, j in _text.blocks(off):
+            for i, j in _text.blocks(off, _BLOCK):
                 h, _, first = _text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 sizes, digests, keys = [], [], []
                 for k in range(j - i):
@@ -99,7 +101,7 @@ def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, _ = _text.column(b, "text")
-            for i, j in _text.blocks(off):
+            for i, j in _text.blocks(off, _BLOCK):
                 h, _, first = _text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 sets = [_text.shingle_set(h[first[k] : first[k + 1]], width) for k in range(j - i)]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -126,7 +128,7 @@ def _confirm(width: int, percent: int):
         for b in batches:
             data, off, _ = _text.column(b, "text")
             hub, kind, id_ = (np.asarray(b.column(k)) for k in (0, 2, 3))
-            for i, j in _text.blocks(off):
+            for i, j in _text.blocks(off, _BLOCK):
                 h, _, first = _text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 a, c = [], []
                 for k in range(i, j):
