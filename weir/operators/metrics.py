@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Ranges of values to a doubling or so of their distance from the middle.
-RANGES = 64
+RANGES = 1024
 
 
 def spread(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -27,7 +27,7 @@ def spread(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     out = {}
     for k, c in enumerate(columns):
         low, middle, high = row[k] or (0.0, 0.0, 0.0)
-        scale = high - low or abs(middle) / RANGES or 1.0
+        scale = high - low or abs(middle) / 64 or 1.0
         out[c] = (middle, scale) if math.isfinite(middle) and math.isfinite(scale) else (0.0, 1.0)
     return out
 
@@ -58,8 +58,11 @@ def running(rows: DataFrame, by: list[str], value: str, sums: list[str], part: C
     return both.select(*[F.col(f"l.{c}").alias(c) for c in rows.columns if c != "_part"], *[(F.col(f"{c}_before") + F.col(f"{c}_in")).alias(f"{c}_upto") for c in sums], *[f"{c}_all" for c in sums])
 
 
-def exact_quantiles(counts: DataFrame, by: list[str], value: str, n: str, steps: list[float], part: Column) -> DataFrame:
-    """(by, k, quantile): the linearly interpolated order statistic at each of ``steps``, by its place ``k``, of values that occur ``n`` times."""
+def exact_quantiles(counts: DataFrame, by: list[str], value: str, n: str, steps: list[float], part: Column, few: bool = False) -> DataFrame:
+    """(by, k, quantile): the linearly interpolated order statistic at each of ``steps``, by its place ``k``, of values that occur ``n`` times. ``few`` says that groups are few enough for their order statistics to be sent to all tasks.
+
+    Only ranges that hold an order statistic are sorted.
+    """
     rows = counts.withColumn("_part", part)
     parts = _parts(rows, by, [n])
     top = F.col(f"{n}_all") - 1
@@ -71,6 +74,8 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, n: str, steps:
     held = ranks.alias("l").join(parts.alias("r"), _same(by)).filter((F.col("rank") >= F.col(f"{n}_before")) & (F.col("rank") < F.col(f"{n}_before") + F.col(f"{n}_own")))
     held = held.select(*[F.col(f"l.{c}").alias(c) for c in [*by, "k", "t", "side"]], "_part", (F.col("rank") - F.col(f"{n}_before")).alias("_rest"))
     inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.broadcast(held) if few else held
+    rows = rows.alias("l").join(held.alias("r"), _same([*by, "_part"]), "left_semi").select("l.*")
     inner = rows.select(*by, "_part", F.col(value).alias("_v"), F.col(n).alias("_n"), F.sum(n).over(inside).alias("_in"))
     found = inner.alias("l").join(held.alias("r"), _same([*by, "_part"])).filter("_rest < _in and _rest >= _in - _n")
     found = found.select(*[F.col(f"l.{c}").alias(c) for c in by], "k", "t", "side", F.col("_v").cast("double").alias("_v"))
@@ -127,7 +132,7 @@ def drift(df: DataFrame, source: str, features: list[str], bins: int = 50) -> Da
         pooled = counts.select("f", "value", of_pair.alias("x")).select("f", "x.*", "value", (F.col("x.a") + F.col("x.b")).alias("n")).filter("n > 0")
         at = spread(df, features)
         part_of = lambda v: reduce(lambda c, k: c.when(F.col("f") == k, range_of(v, at[features[k]])), range(1, len(features)), F.when(F.col("f") == 0, range_of(v, at[features[0]])))
-        edges = exact_quantiles(pooled, ["f", "p"], "value", "n", [k / bins for k in range(bins + 1)], part_of(F.col("value")))
+        edges = exact_quantiles(pooled, ["f", "p"], "value", "n", [k / bins for k in range(bins + 1)], part_of(F.col("value")), few=True)
         edges = edges.groupBy("f", "p").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
         edges = session.createDataFrame(edges.collect(), edges.schema)  # some bins for each row of the report
         found = _distances(pooled, edges, part_of).collect()
@@ -145,7 +150,7 @@ def _distances(pooled: DataFrame, edges: DataFrame, part_of) -> DataFrame:
     rows = pooled.withColumn("_part", part_of(F.col("value")))
     parts = rows.groupBy(*key, "_part").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = lambda t: t.groupBy(*key, "k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    inside = rows.join(each, [*key, "_part"]).filter(F.col("value") < F.col("edge")).select(*key, "k", "a", "b")
+    inside = rows.join(F.broadcast(each), [*key, "_part"]).filter(F.col("value") < F.col("edge")).select(*key, "k", "a", "b")
     before = parts.withColumnRenamed("_part", "_p").join(each, key).filter("_p < _part").select(*key, "k", "a", "b")
     below = sums(inside.unionByName(before))
     total = parts.groupBy(*key).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
@@ -230,6 +235,19 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * h / a
 
 
+def with_p_values(found: DataFrame) -> DataFrame:
+    """``correlations`` with ``pearson_p`` and ``spearman_p``; a report of a row per group, which the driver fills in."""
+    schema = T.StructType([*found.schema.fields, T.StructField("pearson_p", T.DoubleType()), T.StructField("spearman_p", T.DoubleType())])
+    rows = [(*r, correlation_p(r["pearson_r"], r["n"]), correlation_p(r["spearman_rho"], r["n"])) for r in found.collect()]
+    return found.sparkSession.createDataFrame(rows, schema)
+
+
+def against_baseline(figures: DataFrame, baseline: Column, group: str, value: str) -> DataFrame:
+    """``figures`` beside the baseline rows, with ``gap``: the baseline of their group less their own ``value``; null without one."""
+    base = figures.filter(baseline).groupBy(group).agg(F.first(value).alias("_base"))
+    return figures.filter(~baseline).join(base, group, "left").withColumn("gap", F.col("_base") - F.col(value)).drop("_base")
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """n / (k * n_c) for each class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -128,9 +128,9 @@ def ag21(spark, d):
 
 @query("ag22_correlation_p")
 def ag22(spark, d):
-    """Correlations with their p-values; a report of a row per group, so the driver adds them."""
-    rows = [(r["lang"], r["n"], r["pearson_r"], metrics.correlation_p(r["pearson_r"], r["n"])) for r in ag21(spark, d).collect()]
-    return spark.createDataFrame(rows, "lang string, n long, pearson_r double, p_value double")
+    """Correlations with their p-values, from figures that aren't rounded."""
+    t = table(spark, d, "documents").select("lang", F.col("n_chars").cast("double").alias("x"), (F.col("doc_id") % 97).cast("double").alias("y"))
+    return metrics.with_p_values(metrics.correlations(t, ["lang"], "x", "y"))
 
 
 @query("ag23_distinct_sources", "SELECT DISTINCT source FROM documents ORDER BY source")

@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from weir.plans import audit, files, flows, scalars, splits  # noqa: E402, F401  they register their queries
+from weir.plans import audit, files, flows, folders, scalars, splits  # noqa: E402, F401  they register their queries

@@ -239,9 +239,10 @@ def fn32(spark, d):
     return p.select("p_partkey", "fp", fn.split_bucket(F.col("fp")).alias("split"))
 
 
-@query("fn31_canonical_value")
+@query("fn31_canonical_value", "SELECT l_orderkey, l_linenumber, printf('%.6g', l_extendedprice::DOUBLE) AS l_extendedprice_text, printf('%.6g', l_discount::DOUBLE) AS l_discount_text, l_returnflag AS l_returnflag_text, l_linenumber::VARCHAR AS l_linenumber_text FROM lineitem")
 def fn31(spark, d):
-    return shaping.canonical_values(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag"), ["l_extendedprice", "l_discount", "l_returnflag"])
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("l_extendedprice"), F.col("l_discount").cast("double").alias("l_discount"), "l_returnflag")
+    return shaping.canonical_values(li, ["l_extendedprice", "l_discount", "l_returnflag", "l_linenumber"]).drop("l_extendedprice", "l_discount", "l_returnflag")
 
 
 @query("fn34_file_group_id", "SELECT DISTINCT lang, source, substr(sha256(encode(lang) || '\\x00'::BLOB || encode(source)), 1, 16) AS gid FROM documents")

@@ -37,11 +37,15 @@ def provenance(df: DataFrame, id_col: str = "sample_id", label: str = "label") -
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """One small text file at any path that Spark's file systems know."""
+    put_bytes(spark, path, text.encode())
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
@@ -50,6 +54,33 @@ def to_json(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False, default=str)
 
 
+def schema_json(schema: T.StructType) -> str:
+    """Columns with their type, group and padding, in order."""
+    return to_json({"columns": [{"name": f.name, "type": f.dataType.simpleString(), "group": f.metadata.get("group"), "padding": f.metadata.get("padding")} for f in schema.fields]})
+
+
+def vocabulary_json(counts: DataFrame) -> str:
+    """Values and counts by field, of a vocabulary (field, value, n); a null value is ``null``."""
+    out: dict[str, dict] = {}
+    for r in counts.collect():  # as long as the vocabulary
+        out.setdefault(r["field"], {})["null" if r["value"] is None else r["value"]] = r["n"]
+    return to_json(out)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one CSV file in the order of its rows, gzipped where its name says so; missing is blank."""
+    import csv
+    import gzip
+    import io
+
+    text = io.StringIO()
+    rows = csv.writer(text, lineterminator="\n")
+    rows.writerow(df.columns)
+    rows.writerows(["" if v is None else v for v in r] for r in df.collect())
+    data = text.getvalue().encode()
+    put_bytes(df.sparkSession, path, gzip.compress(data) if path.endswith(".gz") else data)
+
+
 def schema_document(schema: T.StructType) -> str:
     """A Markdown table of a schema's columns."""
     rows = [f"| {f.name} | {f.dataType.simpleString()} | {f.metadata.get('group', '')} | {f.metadata.get('padding', '')} |" for f in schema.fields]

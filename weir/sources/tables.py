@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.functions.scalars import strip
 from weir.operators.shaping import type_name
 
 #: Columns of a label file without a header. Fixed values.
@@ -48,7 +49,7 @@ def read_label_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encrypted_flag(value: Column) -> Column:
-    return F.when(F.lower(F.trim(value)).isin("yes", "1", "true"), "yes").otherwise("no")
+    return F.when(F.lower(strip(value)).isin("yes", "1", "true"), "yes").otherwise("no")
 
 
 def file_type(path: Column) -> Column:
@@ -75,6 +76,19 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*", contains: lis
     return df.orderBy("path")
 
 
+def partial_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the companions of partial downloads below ``root``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.aria2").load(root).select("path")
+
+
+def read_metadata(spark: SparkSession, path: str, flag: str) -> DataFrame:
+    """Rows of a CSV, gzipped or not, whose column ``flag``, in any case, says yes or no in one spelling."""
+    rows = read_table(spark, path)
+    named = [c for c in rows.columns if c.lower() == flag.lower()]
+    value = F.col(f"`{named[0]}`") if named else F.lit(None).cast("string")
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in named], encrypted_flag(value).alias(flag))
+
+
 def file_manifest(spark: SparkSession, root: str, known: list[str], licenses: dict[str, str]) -> DataFrame:
     """(path, size_bytes, sha256, file_type, source, license) of files below ``root``. Files of up to ``CELL`` bytes are read by tasks; of longer ones the driver's JVM reads a stream, some at a time."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(~F.col("path").endswith(".aria2"))
@@ -110,7 +124,8 @@ def complete_captures(files: DataFrame, partial: DataFrame) -> DataFrame:
 def side_file(spark: SparkSession, root: str) -> DataFrame:
     """(dir, source_file): the one line of each ``source_file.txt`` below ``root``."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "source_file.txt").option("wholetext", True).text(root)
-    return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1).alias("dir"), F.trim("value").alias("source_file"))
+    path = F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B"))  # blanks and the like are coded in it
+    return df.select(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1).alias("dir"), strip(F.col("value")).alias("source_file"))
 
 
 def with_source_file(rows: DataFrame, sides: DataFrame) -> DataFrame:
