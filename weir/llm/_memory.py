@@ -18,7 +18,19 @@ def _trim():
         return lambda _: 0
 
 
+_TABLES: list = []
+
+
+def per_task(make):
+    """``make`` cached for the length of a task: large tables that are quickly made again don't stay with an idle worker."""
+    kept = cache(make)
+    _TABLES.append(kept)
+    return kept
+
+
 def release() -> None:
+    for kept in _TABLES:
+        kept.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     _trim()(0)
@@ -28,6 +40,7 @@ def tidy(function):
     """``function`` over batches, whose freed memory goes back to the system at the end of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # others keep pages of their own
         try:
             yield from function(batches)
         finally:

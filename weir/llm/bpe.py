@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm import _text
+from weir.llm._memory import per_task
 from weir.llm._scratch import Scratch, arrow_map
 
 #: Most words in the lexicon.
@@ -286,7 +287,7 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-@cache
+@per_task
 def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 

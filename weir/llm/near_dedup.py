@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.llm import _text
+from weir.llm._memory import per_task
 from weir.llm._scratch import Scratch, arrow_map
 from weir.llm.components import components
 
@@ -45,7 +45,7 @@ _BLOCK = 1 << 19
 _PART, _CHUNK = 1 << 18, 1 << 20
 
 
-@cache
+@per_task
 def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1889)
     first = rng.permutation(_SLOTS).astype(np.int32)
