@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.operators import metrics
-from weir.operators.shaping import numeric
+from weir.operators.shaping import decide, numeric
 from weir.operators.splits import stratified_split
 
 #: Trees, learning rate, depth and least rows in a leaf.
@@ -39,7 +39,7 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def scored(model, df: DataFrame, features: list[str]) -> DataFrame:
     out = model.transform(_assembled(df, features)).withColumn("score", vector_to_array("probability")[1])
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*df.columns, "score", "predicted")
+    return out.withColumn("predicted", decide(F.col("score"))).select(*df.columns, "score", "predicted")
 
 
 def holdout_scores(df: DataFrame, features: list[str], label: str, row: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weir.functions.scalars import fingerprint, parse_sequence, row_id, strip
+from weir.functions.scalars import fingerprint, first_present, float_or_zero, parse_sequence, row_id, strip, timestamp_or_zero
 from weir.functions.scalars import stem as file_stem
 from weir.operators import metrics
 
@@ -78,6 +78,51 @@ def flow_rates(duration: Column, sent: Column, received: Column, packets: Column
     }
 
 
+#: Columns that give a capture away, and ports, which an ablation leaves out. Fixed values.
+LEAKAGE, PORTS = ("time_first", "time_last"), ("src_port", "dst_port")
+#: Labels of a flow CSV. Fixed values.
+CSV_LABELS = {"Miner": 1, "Other": 0}
+
+
+def canonical_rows(df: DataFrame, labels: dict[str, int] = CSV_LABELS) -> DataFrame:
+    """Rows of a flow CSV of one of ``labels``, with original_label, label, proto, time_first, time_last and duration in canonical form.
+
+    Columns go by their aliases in any case. Protocol 6 is tcp, and so is none. The duration is that between the times where there is an end, else the
+    duration column's; without an end the row ends after its duration. Rows of other labels go.
+    """
+
+    def pick(*names: str) -> Column:
+        found = columns_named(df, [*names])
+        return first_present(*found) if found else F.lit(None).cast("string")
+
+    label = strip(F.coalesce(pick("label"), F.lit("")))
+    proto = F.lower(F.coalesce(pick("protocol", "proto"), F.lit("tcp")))
+    first, last = timestamp_or_zero(pick("time_first", "start_time")), timestamp_or_zero(pick("time_last", "end_time"))
+    duration = F.when(last != 0, F.greatest(last - first, F.lit(0.0))).otherwise(float_or_zero(pick("duration")))
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), label)
+    return df.filter(label.isin(*labels)).withColumns({
+        "original_label": label, "label": number, "proto": F.when(proto.isin("6", "6.0"), "tcp").otherwise(proto),
+        "time_first": first, "time_last": F.when(last != 0, last).otherwise(first + duration), "duration": duration,
+    })
+
+
+def with_constants(df: DataFrame, **values) -> DataFrame:
+    """``df`` with the same role, label or provenance in every row."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def decide(score: Column, cut: float = 0.5) -> Column:
+    """1 where a score reaches the cut, else 0."""
+    return (score >= cut).cast("int")
+
+
+def feature_sets(schema: T.StructType, exclude: tuple[str, ...] = LEAKAGE) -> dict[str, list[str]]:
+    """The four named sets of model features by their groups; sets without a column are left out."""
+    of = lambda *groups: [f for g in groups for f in features(schema, {g}, {*exclude})]
+    sets = {"flow_only": of("flow"), "flow_timing": of("flow", "timing"), "flow_tls": of("flow", "tls", "certificate"), "flow_timing_tls": of("flow", "timing", "tls", "certificate")}
+    return {k: v for k, v in sets.items() if v}
+
+
 def split_rejects(df: DataFrame, keep: Column, reason: str) -> tuple[DataFrame, DataFrame]:
     """Rows where ``keep`` holds, and the others with a ``reject_reason``; null counts as no."""
     ok = F.coalesce(keep, F.lit(False))

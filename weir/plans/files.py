@@ -88,6 +88,13 @@ def pf14(spark, d):
     return spark.createDataFrame([(c,) for c in shaping.features(_schema())], "name string")
 
 
+@query("pf15_pf16_feature_sets", "SELECT * FROM (VALUES ('flow_only', 'n_chars'), ('flow_timing', 'n_chars'), ('flow_tls', 'n_chars'), ('flow_tls', 'has_tls'), ('flow_tls', 'tls_source'), ('flow_timing_tls', 'n_chars'), ('flow_timing_tls', 'has_tls'), ('flow_timing_tls', 'tls_source')) AS t(name, feature)")
+def pf15(spark, d):
+    late = T.StructField("time_last", T.DoubleType(), True, {"padding": 0.0, "group": "timing", "model": True})
+    sets = shaping.feature_sets(T.StructType([*_schema().fields, late]))
+    return spark.createDataFrame([(k, c) for k, v in sets.items() for c in v], "name string, feature string")
+
+
 @query("dq01_dq04_so05_so06_schema_gate", "SELECT * FROM (VALUES ('extra', 'lang'), ('extra', 'source'), ('extra', 'text'), ('forbidden', 'text'), ('missing', 'has_tls'), ('missing', 'pkt_len'), ('missing', 'tls_source')) AS t(kind, name)")
 def dq01(spark, d):
     docs = table(spark, d, "documents")

@@ -173,11 +173,15 @@ def pf03(spark, d):
 
 
 @query("pf04_canonical_rows", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'tcp' ELSE lower(o_orderstatus) END AS proto, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END::INTEGER AS label, round(greatest(o_totalprice, 0), 2) AS duration
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
+WITH o AS (SELECT *, 1000.5 + o_custkey AS a, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1500 END AS z FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Miner' ELSE 'Other' END AS original_label, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END::INTEGER AS label, CASE o_orderkey % 4 WHEN 2 THEN 'udp' ELSE 'tcp' END AS proto,
+ a::DOUBLE AS time_first, CASE WHEN z > 0 THEN z ELSE a + 12.5 END::DOUBLE AS time_last, CASE WHEN z > 0 THEN greatest(z - a, 0) ELSE 12.5 END::DOUBLE AS duration FROM o""")
 def pf04(spark, d):
-    o = table(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "tcp").otherwise(F.lower("o_orderstatus")).alias("proto"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"), F.round(F.greatest("o_totalprice", F.lit(0.0)), 2).alias("duration"))
+    label = F.when(F.col("o_orderpriority") == "1-URGENT", "Miner").when(F.col("o_orderpriority") == "5-LOW", "\tOther ").otherwise("miner")
+    proto = F.element_at(F.array(F.lit("6"), F.lit("6.0"), F.lit("UDP"), F.lit(" ")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    last = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("1970-01-01T00:25:00Z")
+    rows = table(spark, d, "orders").select("o_orderkey", label.alias("LABEL"), proto.alias("Protocol"), (F.col("o_custkey") + 1000.5).cast("string").alias("start_time"), last.alias("TIME_LAST"), F.lit("12.5").alias("duration"))
+    return shaping.canonical_rows(rows).select("o_orderkey", "original_label", "label", "proto", "time_first", "time_last", "duration")
 
 
 LABELS = ["Benign", "benign", "C&C", "XMRigMiner", "CoinMining", "", None, "PartOfAHorizontalPortScan", "benign mining"]
@@ -254,12 +258,12 @@ def pf22(spark, d):
 
 @query("pf23_constants", "SELECT s_suppkey, 'supplier' AS source, 'benign' AS role, 0::INTEGER AS label FROM supplier")
 def pf23(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.lit("supplier").alias("source"), F.lit("benign").alias("role"), F.lit(0).alias("label"))
+    return shaping.with_constants(table(spark, d, "supplier").select("s_suppkey"), source="supplier", role="benign", label=0)
 
 
 @query("pf24_threshold", "SELECT l_orderkey, l_linenumber, l_partkey, (l_discount * 10 >= 0.5)::INTEGER AS predicted FROM lineitem")
 def pf24(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 10 >= 0.5).cast("int").alias("predicted"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", shaping.decide(F.col("l_discount") * 10).alias("predicted"))
 
 
 @query("so01_so02_union_sources", "SELECT 'customer' AS source, c_custkey AS id, c_acctbal AS balance, NULL::VARCHAR AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier")
