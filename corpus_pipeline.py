@@ -17,7 +17,7 @@ from weir.llm.langid import UNKNOWN, fold, identify, learn
 from weir.llm.near_dedup import near_groups
 from weir.llm.pii import replace_entities
 
-#: SQL has none of these stages; tests hold them against brute force.
+#: SQL has none of the learned and keyed stages; the tests hold each stage's operator against brute force or held-out rows, and the stages against rules on rows of their own.
 ORACLE_SQL = None
 
 
