@@ -31,6 +31,10 @@ def per_task(make):
 def release() -> None:
     for kept in _TABLES:
         kept.cache_clear()
+    trim()
+
+
+def trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     _trim()(0)

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm import _text
-from weir.llm._memory import per_task
+from weir.llm._memory import per_task, trim
 from weir.llm._scratch import Scratch, arrow_map
 
 #: Most words in the lexicon.
 LEXICON = 1 << 15
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 #: Distinct words that a task counts before it sends them on.
-_HELD = 200_000
+_HELD = 50_000
 #: Counts of words are told apart by sixteenths of an octave where the lexicon is cut.
 _OCTAVE = 16
 #: Characters below this take the fast path when they are composed already.
@@ -73,8 +73,11 @@ class Vocabulary:
         self.text = text
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in reversed([*enumerate(pairs)])}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        # of a pair that stands twice the first counts
+        both = np.array([self.ids[a] * _PAIR + self.ids[b] for a, b in pairs] or [-1], np.int64)
+        self.pairs, self.order = np.unique(both, return_index=True)
+        self.made = np.array([self.ids[a + b] for a, b in pairs] or [0], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -82,14 +85,7 @@ class Vocabulary:
         chars = _byte_characters()
         self.inner = np.array([self.ids[c] for c in chars], np.int64)
         self.last = np.array([self.ids[c + self.suffix] for c in chars], np.int64)
-        # pairs in order, the rank of each, and what a rank makes
-        keys = np.array([a * _PAIR + b for a, b in self.rank] or [-1], np.int64)
-        ranks = np.array([k for k, _ in self.rank.values()] or [0], np.int64)
-        by = np.argsort(keys)
-        self.pairs, self.order = keys[by], ranks[by]
-        self.made = np.zeros(int(ranks.max()) + 1, np.int64)
-        self.made[ranks] = [new for _, new in self.rank.values()] or [0]
-        self._parts = None
+        self._parts = self._ranks_of = None
 
     def parts(self):
         """The file's own normalizer and pre-tokenizer, for texts beyond the fast path."""
@@ -162,23 +158,30 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
         return np.where(self.pairs[at] == want, self.order[at], _NONE)
 
+    def _rank(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, id made) of each pair, for words that are merged one by one."""
+        if self._ranks_of is None:
+            self._ranks_of = {(int(p) >> 32, int(p) & (_PAIR - 1)): (int(k), int(self.made[k])) for p, k in zip(self.pairs, self.order)}
+        return self._ranks_of
+
     def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*self.rank[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
+        rank = self._rank()
+        heap = [(*rank[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in rank]
         heapq.heapify(heap)
         while heap:
             r, new, k = heapq.heappop(heap)
             j = after[k] if ids[k] >= 0 else -1
-            if j < 0 or self.rank.get((ids[k], ids[j])) != (r, new):
+            if j < 0 or rank.get((ids[k], ids[j])) != (r, new):
                 continue
             ids[k], ids[j] = new, -1
             after[k] = after[j]
             if after[k] >= 0:
                 before[after[k]] = k
-                if found := self.rank.get((new, ids[after[k]])):
+                if found := rank.get((new, ids[after[k]])):
                     heapq.heappush(heap, (*found, k))
-            if before[k] >= 0 and (found := self.rank.get((ids[before[k]], new))):
+            if before[k] >= 0 and (found := rank.get((ids[before[k]], new))):
                 heapq.heappush(heap, (*found, before[k]))
         return [x for x in ids if x >= 0]
 
@@ -289,7 +292,9 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @per_task
 def _vocabulary(text: str) -> Vocabulary:
-    return Vocabulary(text)
+    found = Vocabulary(text)
+    trim()  # what reading the file took
+    return found
 
 
 @cache
@@ -339,8 +344,8 @@ def frequent_words(docs: DataFrame, vocabulary: str, n: int = LEXICON) -> list[s
 
 def _counted(seen) -> pa.RecordBatch:
     """Words and counts; words of over 64 characters are no frequent ones."""
-    seen = {w: n for w, n in seen.items() if len(w) <= 64}
-    return pa.RecordBatch.from_arrays([_text.binary([w.encode("utf-8", "surrogateescape") for w in seen]), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    words = [w for w in seen if len(w) <= 64]
+    return pa.RecordBatch.from_arrays([_text.binary([w.encode("utf-8", "surrogateescape") for w in words]), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon: int = LEXICON, keep_ids: bool = True) -> DataFrame:
