@@ -222,3 +222,22 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
         got.append(sorted(r["text"] for r in state.filter("doc_id is null or doc_id = 10000000").collect()))
     own = {word(k) for k in (1, 2, 3, 4)}
     assert got[0] == sorted(t for _, t in rows) and got[1] == sorted({*own, copied}) and got[2] == sorted(own)
+
+
+def test_language_model_learns_alike_at_any_size(spark, monkeypatch):
+    """No bound on tokens decides how often the corpus is gone through, and the mean over partitions is that of their weights."""
+    import numpy as np
+    import pyarrow as pa
+
+    from weir.llm import lm
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 23}" for j in range(1, 40))) for k in range(60)], "doc_id long, text string").repartition(2, "doc_id")
+    passes, real = [], lm._train
+    monkeypatch.setattr(lm, "_train", lambda *a: (passes.append(1), real(*a))[1])
+    monkeypatch.setattr(lm, "TOKENS", 1, raising=False)
+    got = lm.score(docs, fold(n=10) != 0).collect()
+    assert len(got) == 60 and len(passes) == lm.ROUNDS == 2
+    x = np.arange(6, dtype=np.float32)
+    sent = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(x * n + k).tobytes()]), pa.array([n])], ["at", "value", "tokens"]) for n in (1, 3) for k in (0, 6)]
+    mean = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py(), np.float32) for b in lm._mean(iter(sent))}
+    assert set(mean) == {0, 6} and all(np.allclose(v, x * (1 * 1 + 3 * 3) / 4 + k) for k, v in mean.items())

@@ -35,14 +35,16 @@ from weir.llm.langid import fold
 #: Words with an output of their own, for each of the square root of the distinct words; classes for the others.
 HEAD, CLASSES = 4, 256
 DIM = 32
-#: A corpus of fewer training tokens is gone through twice, a larger one once; more rounds over a small one only learn it by heart.
-TOKENS = 40_000_000
+#: How often a corpus of any size is gone through; more rounds over a small one only learn it by heart.
+ROUNDS = 2
 #: Training tokens in one step (at least four for each output), group noise drawn for all of it, and how many draws of a group's noise each token counts.
 STEP, NOISE, INNER = 32768, 16, 16
 RATE = 0.1
 #: Counts of words are told apart by sixteenths of an octave where the outputs are cut.
 _OCTAVE = 16
 _BLOCK = 4 << 20
+#: Weights that go to one task to be averaged.
+_CHUNK = 1 << 14
 #: Tokens that are scored at once.
 _AT_ONCE = 1 << 17
 _END = np.uint64(0x454E44)
@@ -280,12 +282,24 @@ def _train(flat: np.ndarray, outputs: Outputs, rate: float):
                     own = rows[k : k + trainer.step]
                     trainer.learn(one[own], two[own], slots[own])
         if trainer.tokens:
-            value = trainer.w.flat.astype(np.float64) * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value))), pa.array(value), pa.array(np.full(len(value), trainer.tokens))], ["at", "value", "tokens"])
+            for k in range(0, len(flat), _CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), _text.binary([trainer.w.flat[k : k + _CHUNK].tobytes()]), pa.array([trainer.tokens])], ["at", "value", "tokens"])
 
     return run
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of partitions to their mean by training tokens; each ``at`` is in one task."""
+    sums: dict[int, np.ndarray] = {}
+    tokens: dict[int, int] = {}
+    for b in batches:
+        for at, value, n in zip(*(c.to_pylist() for c in b.columns)):
+            sums[at] = sums.get(at, 0.0) + np.frombuffer(value, np.float32).astype(np.float64) * n
+            tokens[at] = tokens.get(at, 0) + n
+    for at, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([at]), _text.binary([(x / tokens[at]).astype(np.float32).tobytes()])], ["at", "value"])
+
+
 class Model:
     """All that scoring needs; it grows with the square root of the vocabulary."""
 
@@ -362,10 +376,10 @@ def _score(spec: dict, kind: T.DataType):
     return run
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    ``train``: a condition on ``docs``; the model learns from the rows where it holds, in ``rounds`` (one, or two where tokens are few). Words: A-Z lower-cased, parted by space and
+    ``train``: a condition on ``docs``; the model learns from the rows where it holds, in ``rounds``. Words: A-Z lower-cased, parted by space and
     09-0D, then an end. base_score: log10 of the smoothed unigram probability; score: log10 of the model's.
     A null or empty text is its end alone. Rows repeat as they do in ``docs``; other columns are ignored; without training rows
     all words are unknown; an empty table gives no rows.
@@ -402,10 +416,10 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     outputs = Outputs(head.column("word").to_numpy().astype(np.int64).view(np.uint64), head.column("n").to_numpy().astype(np.float64), class_n)
 
     flat = Weights.start(outputs).flat
-    for k in range((rounds or (1 if total["n"] >= TOKENS else 2)) if total["n"] else 0):
-        trained = arrow_map(blocks.select("train", "first", "codes", "vocab", "classes"), _train(flat, outputs, RATE / (k + 1) ** 0.5), "at long, value double, tokens long")
-        mean = trained.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
-        flat = mean.sort_by("at").column("value").to_numpy().astype(np.float32)
+    for k in range(rounds if total["n"] else 0):
+        trained = arrow_map(blocks.select("train", "first", "codes", "vocab", "classes"), _train(flat, outputs, RATE / (k + 1) ** 0.5), "at long, value binary, tokens long")
+        mean = arrow_map(trained.repartition("at"), _mean, "at long, value binary").toArrow().sort_by("at")
+        flat = np.frombuffer(b"".join(mean.column("value").to_pylist()), np.float32)
 
     spec = {"flat": flat, "outputs": outputs, "n": total["n"], "v": total["v"], "class_n": class_n, "class_v": class_v}
     beyond = counts.filter("more").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("more"))
