@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.llm._memory import shrink
 from weir.llm._scratch import Scratch
 from weir.llm.bpe import encode, public_vocabulary
 from weir.llm.decontam import contamination
@@ -41,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least id of each group of near duplicates, over five-word shingles at 0.8. Rows that repeat id and text stay once; other texts of an id, and rows without one, are documents of their own."""
+    shrink(spark)  # of what the stage before took
     keyed = _keyed(spark, docs)
     kept = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80).filter("kept").groupBy(F.col("id").alias("_key")).agg(F.count("*").alias("n"))
     kept = Scratch(spark, "kept").write(kept, "kept")
@@ -51,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated rows."""
+    shrink(spark)  # of what the stage before took
     keyed = _keyed(spark, docs)
     bad = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("id").alias("_key")).distinct()
     return keyed.join(bad, "_key", "left_anti").select(docs.columns)
@@ -58,12 +61,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates for personal data into every text; ``n_chars`` follows."""
+    shrink(spark)  # of what the stage before took
     out = replace_entities(docs, spark.conf.get("weir.pii.key", "weir-demonstration-key"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
+    shrink(spark)  # of what the stage before took
     out = encode(docs, public_vocabulary(), keep_ids=True)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 

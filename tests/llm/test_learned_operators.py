@@ -241,3 +241,23 @@ def test_language_model_learns_alike_at_any_size(spark, monkeypatch):
     sent = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(x * n + k).tobytes()]), pa.array([n])], ["at", "value", "tokens"]) for n in (1, 3) for k in (0, 6)]
     mean = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py(), np.float32) for b in lm._mean(iter(sent))}
     assert set(mean) == {0, 6} and all(np.allclose(v, x * (1 * 1 + 3 * 3) / 4 + k) for k, v in mean.items())
+
+
+def test_executors_collect_between_stages(spark, monkeypatch):
+    """Later stages first have executors give back what earlier ones took, and workers read no second vocabulary."""
+    import json
+
+    import corpus_pipeline
+    from weir.llm import bpe
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = beans()
+    corpus_pipeline.shrink(spark)
+    assert beans() > before
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "shrink", asked.append)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus_pipeline.private_data(spark, docs, "/root/testdata/sf0.001")
+    assert asked == [spark]
+    vocabulary = bpe.Vocabulary(bpe.public_vocabulary())
+    assert json.loads(vocabulary.rest)["model"]["vocab"] == {} and vocabulary.pieces("日本 é x")

@@ -70,7 +70,8 @@ class Vocabulary:
     def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
-        self.text = text
+        # all that texts beyond the fast path need of the library; its own vocabulary takes tens of MB
+        self.rest = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None, "truncation": None, "padding": None})
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -92,7 +93,7 @@ class Vocabulary:
         if self._parts is None:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_str(self.text)
+            t = Tokenizer.from_str(self.rest)
             back = {c: b for b, c in enumerate(_byte_characters())}
             self._parts = (t.normalizer.normalize_str, t.pre_tokenizer.pre_tokenize_str, back)
         return self._parts
