@@ -21,6 +21,9 @@ from weir.llm.pii import replace_entities
 #: SQL has none of the learned and keyed stages; the tests hold each stage's operator against brute force or held-out rows, and the stages against rules on rows of their own.
 ORACLE_SQL = None
 
+#: Bytes of dropped keys up to which they go to all tasks, which leaves texts where they are; beyond, both sides are shuffled.
+BROADCAST = 32 << 20
+
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with ``_key``: the id where it names one row; else, for null and repeated ids, a hash of id and text beyond usual ids, so that only rows that repeat both share it."""
@@ -44,10 +47,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the least id of each group of near duplicates, over five-word shingles at 0.8. Rows that repeat id and text stay once; other texts of an id, and rows without one, are documents of their own."""
     shrink(spark)  # of what the stage before took
     keyed = _keyed(spark, docs)
-    kept = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80).filter("kept").groupBy(F.col("id").alias("_key")).agg(F.count("*").alias("n"))
-    kept = Scratch(spark, "kept").write(kept, "kept")
-    once = keyed.join(kept.filter("n = 1"), "_key", "left_semi")
-    more = keyed.join(kept.filter("n > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    near = Scratch(spark, "near")
+    # rows of one key have one text and so one fate; few keys are dropped or repeat
+    odd = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80, scratch=near)
+    odd = odd.groupBy(F.col("id").alias("_key")).agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).filter("n > 1 or not kept")
+    odd = Scratch(spark, "odd").write(odd, "odd")
+    near.close()  # all that it said stands in ``odd``
+    small = 16 * odd.count() <= BROADCAST
+    known = lambda rows: F.broadcast(rows.select("_key")) if small else rows.select("_key")
+    once = keyed.join(known(odd), "_key", "left_anti")
+    more = keyed.join(known(odd.filter("kept")), "_key", "left_semi").dropDuplicates(["_key"])
     return once.unionByName(more).select(docs.columns)
 
 

@@ -224,6 +224,31 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
     assert got[0] == sorted(t for _, t in rows) and got[1] == sorted({*own, copied}) and got[2] == sorted(own)
 
 
+def test_pipeline_leaves_texts_of_kept_documents_where_they_are(spark, monkeypatch):
+    """Dropping near duplicates moves no texts while the dropped keys are few, gives the same rows beyond that, and frees its tables."""
+    import glob
+
+    import corpus_pipeline as p
+    from weir.llm._scratch import shared_dir
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    nameless = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(nameless).unionByName(nameless)
+    tables = shared_dir(spark).removeprefix("file://") + "/weir-near-*"
+    before, found = set(glob.glob(tables)), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (32 << 20, -1):
+            monkeypatch.setattr(p, "BROADCAST", size, raising=False)
+            out = p.near_duplicates(spark, docs, SF)
+            found.append((sorted(map(repr, out.collect())), "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < len(found[0][0]) < 150 and found[0][0] == found[1][0]
+    assert [moved for _, moved in found] == [False, True]
+    assert set(glob.glob(tables)) == before
+
+
 def test_language_model_learns_alike_at_any_size(spark, monkeypatch):
     """No bound on tokens decides how often the corpus is gone through, and the mean over partitions is that of their weights."""
     import numpy as np

@@ -265,7 +265,7 @@ def _joined(label: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.write(moved.union(merged.join(label, "node", "left_anti")), "labels")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Words: A-Z lower-cased, parted by space and 09-0D. Documents of fewer than
@@ -274,8 +274,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reachable over links of ``percent`` or more. Rows of one id with different texts are documents of their own, each
     linked by its own text; ``kept`` says whether a row's id is its component's. A row without
     an id is in no component (null) and kept. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    The result reads tables of ``scratch`` (one of its own if none is given), which may be closed once the result is written.
     """
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     sets = scratch.write(arrow_map(source, _sets(width), "id long, th long, n long, digest binary, bands array<long>"), "sets")
     known = sets.filter("id is not null and digest is not null").withColumnRenamed("id", "cid")
