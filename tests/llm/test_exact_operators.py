@@ -208,6 +208,44 @@ def test_lm_is_normalised(monkeypatch):
     assert follows.argmax() == 22
 
 
+def test_lm_steps_follow_the_plain_rule():
+    """The step's shared products and the sums of exponentials against the rule written out in doubles, also beyond the range of floats."""
+    rng = np.random.default_rng(3)
+    outputs = lm.Outputs(rng.integers(0, 2**63, 60).astype(np.uint64), 4000 / np.arange(1, 61), rng.random(lm.CLASSES) * 40)
+    trainer = lm.Trainer(lm.Weights.start(outputs).flat, outputs, 0.1, 0)
+    trainer.w.b[3] = -200  # so unlikely that the exponential has no float
+    w, n = lm.Weights(trainer.w.flat.astype(float), outputs.size), 500
+    one, two, target = (rng.integers(0, outputs.size[0], n) for _ in range(3))
+    noise = np.searchsorted(trainer.draw, np.random.default_rng(0).random(lm.NOISE) * trainer.draw[-1])
+    grad, h = lm.Weights(np.zeros_like(w.flat), outputs.size), w.r[one] @ w.c1 + w.r[two] @ w.c2
+    sure = lambda x: 1 / (1 + np.exp(-x))
+    for k in range(n):
+        g = int(outputs.group[target[k]])
+        parts = [("g", "a", g, 1 - sure(h[k] @ w.g[g] + w.a[g] - trainer.noise[g]))] + [("g", "a", int(j), -sure(h[k] @ w.g[j] + w.a[j] - trainer.noise[j])) for j in noise]
+        if (own := range(outputs.start[g], outputs.start[g + 1]))[1:]:
+            odds = {j: sure(h[k] @ w.q[j] + w.b[j] - trainer.inner[j]) for j in own}
+            parts += [("q", "b", j, -float(trainer.weight[j]) * odds[j] + (1 - odds[j]) * (j == target[k])) for j in own]
+        back = np.zeros(lm.DIM)
+        for name, bias, j, x in parts:
+            getattr(grad, name)[j] += x * h[k]
+            getattr(grad, bias)[j] += x
+            back += x * getattr(w, name)[j]
+        grad.c1[:] += np.outer(w.r[one[k]], back)
+        grad.c2[:] += np.outer(w.r[two[k]], back)
+        grad.r[one[k]] += w.c1 @ back
+        grad.r[two[k]] += w.c2 @ back
+    move = grad.flat * 10 / n
+    with np.errstate(all="raise", under="ignore"):
+        trainer.learn(one, two, target)
+        x = rng.normal(0, 30, (50, 20)).astype(np.float32)
+        for scale in (0.1, 1, 40):
+            y = (x * scale).astype(float)
+            assert np.allclose(lm._log_sum((x * np.float32(scale)).copy()), y.max(axis=1) + np.log(np.exp(y - y.max(axis=1)[:, None]).sum(axis=1)), rtol=1e-4, atol=1e-4)
+    assert np.allclose(trainer.sum, 1e-5 + move**2, rtol=1e-3, atol=1e-6)
+    assert np.allclose(trainer.w.flat, w.flat + 0.1 * move / np.sqrt(1e-5 + move**2), atol=2e-3)
+    assert lm._against(np.zeros(3, np.float32)).tolist() == [2.0] * 3
+
+
 def test_lm_beats_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out = lm.score(docs, fold(n=10) != 0).filter(fold("id", 10) == 0).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

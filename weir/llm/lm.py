@@ -35,6 +35,8 @@ from weir.llm.langid import fold
 #: Words with an output of their own, for each of the square root of the distinct words; classes for the others.
 HEAD, CLASSES = 4, 256
 DIM = 32
+#: Columns of a vector with its bias.
+_WIDE = DIM + 8
 #: How often a corpus of any size is gone through; more rounds over a small one only learn it by heart.
 ROUNDS = 2
 #: Training tokens in one step (at least four for each output), group noise drawn for all of it, and how many draws of a group's noise each token counts.
@@ -173,7 +175,9 @@ class Weights:
         return w
 
     def hidden(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        return self.r[c1] @ self.c1 + self.r[c2] @ self.c2
+        out = (self.r @ self.c1).take(c1, axis=0)
+        out += (self.r @ self.c2).take(c2, axis=0)
+        return out
 
 
 def _contexts(slots: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +205,20 @@ def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.negative(x, out=x)
-    np.minimum(x, 30, out=x)
-    np.exp(x, out=x)
+def _against(x: np.ndarray) -> np.ndarray:
+    """1 + exp(x), in place: the logistic function's reciprocal where ``x`` is its argument's opposite. Beyond the range of floats it is infinite, as the function is 0 there."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return x
+
+
+def _opposite(vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Minus vectors and bias, side by side."""
+    out = np.zeros((len(vectors), _WIDE), np.float32)
+    np.negative(vectors, out=out[:, :DIM])
+    np.negative(bias, out=out[:, DIM])
+    return out
 
 
 class Trainer:
@@ -231,30 +242,37 @@ class Trainer:
         one, two, target = one[by], two[by], target[by]
         group = o.group[target]
         noise = np.minimum(np.searchsorted(self.draw, self.rng.random(NOISE) * self.draw[-1]), o.size[1] - 1)
-        h = (w.r @ w.c1).take(one, axis=0)
-        h += (w.r @ w.c2).take(two, axis=0)
+        # a column of ones beside the vectors takes the biases along; the rest keeps rows in step with the processor's
+        vectors = np.zeros((n, _WIDE), np.float32)
+        vectors[:, DIM] = 1
+        h = vectors[:, :DIM]
+        np.add((w.r @ w.c1).take(one, axis=0), (w.r @ w.c2).take(two, axis=0), out=h)
         grad = Weights(np.zeros_like(w.flat), o.size)
         # of the noise: how wrong is the guess where it came from
-        wrong = _sigmoid(h @ w.g[noise].T + (w.a[noise] - self.noise[noise]))
+        less = _opposite(w.g, w.a - self.noise)
+        wrong = np.reciprocal(_against(vectors @ less[noise].T))
         dh = wrong @ -w.g[noise]
-        np.add.at(grad.g, noise, -wrong.T @ h)
-        np.add.at(grad.a, noise, -wrong.sum(axis=0))
+        back = wrong.T @ vectors
+        np.subtract.at(grad.g, noise, back[:, :DIM])
+        np.subtract.at(grad.a, noise, back[:, DIM])
+        miss = 1 - 1 / _against(np.einsum("ij,ij->i", vectors, less.take(group, axis=0)))
+        dh += miss[:, None] * w.g.take(group, axis=0)
+        less, weight = _opposite(w.q, w.b - self.inner), -self.weight
         first = np.flatnonzero(np.diff(group, prepend=-1))
         for s, e, g in zip(first.tolist(), [*first[1:].tolist(), n], group[first].tolist()):
-            own, low, high = h[s:e], int(o.start[g]), int(o.start[g + 1])
-            miss = 1 - _sigmoid(own @ w.g[g] + (w.a[g] - self.noise[g]))
-            grad.g[g] += miss @ own
-            grad.a[g] += miss.sum()
-            dh[s:e] += miss[:, None] * w.g[g]
+            own, low, high = vectors[s:e], int(o.start[g]), int(o.start[g + 1])
+            back = miss[s:e] @ own
+            grad.g[g] += back[:DIM]
+            grad.a[g] += back[DIM]
             if high - low > 1:  # the same in a group that has a choice
-                x = _sigmoid(own @ w.q[low:high].T + (w.b[low:high] - self.inner[low:high]))
+                x = _against(own @ less[low:high].T)
                 rows, at = np.arange(e - s), target[s:e] - low
-                miss = 1 - x[rows, at]
-                x *= -self.weight[low:high]
-                x[rows, at] += miss
+                short = 1 - 1 / x[rows, at]
+                np.divide(weight[low:high], x, out=x)
+                x[rows, at] += short
                 dh[s:e] += x @ w.q[low:high]
-                grad.q[low:high] = x.T @ own
-                grad.b[low:high] = x.sum(axis=0)
+                back = x.T @ own
+                grad.q[low:high], grad.b[low:high] = back[:, :DIM], back[:, DIM]
         for index, c, dc in ((one, w.c1, grad.c1), (two, w.c2, grad.c2)):
             came = _gather(index, dh, o.size[0] + 1)
             dc[:] = w.r.T @ came
@@ -322,19 +340,24 @@ class Model:
         group = o.group[slots]
         norm, step = np.empty(len(pair), np.float32), max(1, (1 << 21) // o.size[1])
         for k in range(0, len(pair), step):
-            norm[k : k + step] = _log_sum(h[k : k + step] @ w.g.T + w.a)
-        out = np.einsum("ij,ij->i", h.take(at, axis=0), w.g.take(group, axis=0)) + w.a[group] - norm[at]
+            x = h[k : k + step] @ w.g.T
+            x += w.a
+            norm[k : k + step] = _log_sum(x)
+        out = w.a[group] - norm[at]
         by = _order(group, o.size[1])
         cuts = np.searchsorted(group[by], np.arange(o.size[1] + 1))
         for g in np.unique(group).tolist():
             low, high = int(o.start[g]), int(o.start[g + 1])
-            if high - low < 2:
-                continue
             step = max(1, (1 << 21) // (high - low))
             for k in range(int(cuts[g]), int(cuts[g + 1]), step):
                 own = by[k : min(k + step, int(cuts[g + 1]))]
-                x = h.take(at[own], axis=0) @ w.q[low:high].T + w.b[low:high]
-                out[own] += x[np.arange(len(own)), slots[own] - low] - _log_sum(x)
+                vectors = h.take(at[own], axis=0)
+                out[own] += vectors @ w.g[g]
+                if high - low > 1:
+                    x = vectors @ w.q[low:high].T
+                    x += w.b[low:high]
+                    out[own] += x[np.arange(len(own)), slots[own] - low]
+                    out[own] -= _log_sum(x)
         return out
 
     def share(self, slots: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -345,9 +368,13 @@ class Model:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    y = x - top[:, None]
-    return top + np.log(np.exp(y, out=y).sum(axis=1))
+    """The logarithm of each row's sum of exponentials; ``x`` is used up."""
+    top = np.zeros(len(x), x.dtype)
+    if not (x.max() < 60 and x.min() > -60):  # else no power leaves the range of floats
+        top = x.max(axis=1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _score(spec: dict, kind: T.DataType):
