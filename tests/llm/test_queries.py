@@ -141,6 +141,19 @@ def test_op7(run):
     assert got[60]["n_spans"] == 2
 
 
+def test_op7_text(spark, tmp_path):
+    """The query hands out what remains: a passage of over 50 words is gone from both texts and from nothing else; a cut within a character leaves U+FFFD."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(7, 12))) for _ in range(n))
+    passage, clean, run = words(55), words(90), "".join(rng.choice("abcdefgh") for _ in range(399))
+    around = [words(30) + mark for mark in "ACBD"]
+    rows = [(0, around[0] + passage + around[2][::-1]), (1, around[1] + passage + around[3][::-1]), (2, clean), (3, "é" + run), (4, "ĩ" + run), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_cover_suffixes"](spark, str(tmp_path)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {0: around[0] + around[2][::-1], 1: around[1] + around[3][::-1], 2: clean, 3: "\ufffd", 4: "\ufffd", 5: ""}
+    assert got[3]["kept_sha256"] == hashlib.sha256(b"\xc3").hexdigest() and got[3]["n_removed"] == 400
+
+
 def test_op2(run):
     got = run(2)
     assert got[3]["component_id"] == got[62]["component_id"] == 3 and got[63]["n_shingles"] == got[64]["n_shingles"] == 0 and got[60]["n_shingles"] > 300_000
